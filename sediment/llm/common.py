@@ -137,7 +137,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tupl
     out = whole[index]
     for row in np.flatnonzero((counts > 0) & (counts < width)):
         own = words[first[row] : first[row + 1]]
-        out[at[row]] = np.uint64(len(own)) * np.uint64(0xD6E8FEB86659FD93) + (own * factors[: len(own)]).sum(dtype=np.uint64)
+        out[at[row]] = (np.append(own, np.uint64(len(own))) * np.append(factors[: len(own)], np.uint64(0xD6E8FEB86659FD93))).sum(dtype=np.uint64)
     return mix(out), at
 
 

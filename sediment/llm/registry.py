@@ -8,11 +8,18 @@ import importlib
 MODULES = {
     "op2_chat": "chat",
     "op3_media": "media",
+    "op5_jaccard_join": "jaccard",
+    "op6_token_ids": "tokens",
+    "op7_language": "language",
 }
 
 
+def _query(module: str):
+    return lambda spark, sf_dir: importlib.import_module(f".{module}", __package__).query(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: importlib.import_module(f".{module}", __package__).query for name, module in MODULES.items()}
+    return {name: _query(module) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
