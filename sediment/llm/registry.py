@@ -11,6 +11,7 @@ MODULES = {
     "op5_jaccard_join": "jaccard",
     "op6_token_ids": "tokens",
     "op7_language": "language",
+    "op9_toxicity": "toxicity",
     "op10_decontaminate": "decontaminate",
 }
 
