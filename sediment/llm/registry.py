@@ -6,11 +6,13 @@ import importlib
 
 #: query name -> module
 MODULES = {
+    "op1_lm_score": "scoring",
     "op2_chat": "chat",
     "op3_media": "media",
     "op5_jaccard_join": "jaccard",
     "op6_token_ids": "tokens",
     "op7_language": "language",
+    "op8_mixing": "mixing",
     "op9_toxicity": "toxicity",
     "op10_decontaminate": "decontaminate",
 }
