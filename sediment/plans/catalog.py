@@ -1,9 +1,388 @@
 """Registered queries of the engine and their DuckDB equivalents."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import globs, scalars
+from ..operators import chunks, htree, index, oplog, querylang, sendlog
+from . import views as v
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Tag queries.
+
+
+def _tagged(name: str, query: str, where: str, encrypted: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        items = v.items(spark, sf_dir)
+        lookup = (lambda k: {"id": F.col("item_id")}.get(k, F.lit(None).cast("string"))) if encrypted else v.tag_lookup
+        return items.where(querylang.compile_query(querylang.parse(query.split(" ")), lookup, F.col("age"), encrypted)).select("item_id", "o_orderkey")
+
+    _register(name, f"WITH {v.ITEMS_SQL} SELECT item_id, o_orderkey FROM items_v WHERE {where}")(run)
+
+
+_tagged("tag_glob_prefix", "name=1-*", "o_orderpriority LIKE '1-%'")
+_tagged("tag_glob_suffix", "name=*LOW", "o_orderpriority LIKE '%LOW'")
+_tagged("tag_glob_contains", "name=*NOT*", "o_orderpriority LIKE '%NOT%'")
+_tagged("tag_glob_class", "name=[1-3]-[!M]*", "regexp_full_match(o_orderpriority, '[1-3]-[^M].*')")
+_tagged("tag_glob_alternation", "name={1-URGENT,5-LOW}", "o_orderpriority IN ('1-URGENT', '5-LOW')")
+_tagged("tag_glob_any_char", "name=?-HIGH", "regexp_full_match(o_orderpriority, '.-HIGH')")
+_tagged("tag_literal", "name==1-URGENT", "o_orderpriority = '1-URGENT'")
+_tagged("tag_literal_metachars", "name==1-*", "o_orderpriority = '1-*'")
+_tagged("tag_and_or_precedence", "name=1-* and status=F or status=O", "o_orderpriority LIKE '1-%' AND (o_orderstatus = 'F' OR o_orderstatus = 'O')")
+_tagged("tag_grouping", "[ name=1-* and status=F ] or status=P", "(o_orderpriority LIKE '1-%' AND o_orderstatus = 'F') OR o_orderstatus = 'P'")
+_tagged("tag_not", "~ [ status=F or status=O ]", "NOT (o_orderstatus = 'F' OR o_orderstatus = 'O')")
+_tagged("age_older", "older-than 5y", f"age > {querylang.parse_duration('5y')}")
+_tagged("age_newer", "newer-than 1000d", f"age < {querylang.parse_duration('1000d')}")
+_tagged("encrypted_mode", "~older-than 5y and ~name=1-*", "true", encrypted=True)
+
+@_register("id_lookup", f"SELECT lpad(lower(to_hex(o_orderkey)), 32, '0') AS item_id, o_orderkey FROM orders WHERE o_orderkey = {0x12345 % 997 + 1}")
+def _id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that is one id is answered by its key, without compiling a scan over tags."""
+    key = querylang.single_id(querylang.parse(f"id={0x12345 % 997 + 1:032x}"))
+    return v.table(spark, sf_dir, "orders").where(F.col("o_orderkey") == int(key, 16)).select(F.lit(key).alias("item_id"), "o_orderkey")
+
+
+@_register("tag_not_missing", f"WITH {v.DOCS_SQL} SELECT doc_id FROM docs_v WHERE NOT coalesce(toxic = '1', false) AND coalesce(lang LIKE 'e%', false)")
+def _tag_not_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = v.docs(spark, sf_dir)
+    return docs.where(querylang.compile_query(querylang.parse(["~toxic=1", "and", "lang=e*"]), querylang.map_lookup(F.col("tags")))).select("doc_id")
+
+
+_UNITS_SQL = "CASE " + " ".join(f"WHEN size > {1 << 10 * k} THEN CAST(size // {1 << 10 * k} AS VARCHAR) || '.' || format('{{:02d}}', (size % {1 << 10 * k}) // {(1 << 10 * k) // 100}) || '{u}'" for k, u in reversed(list(enumerate(scalars.SIZE_UNITS, 1)))) + " ELSE CAST(size AS VARCHAR) || 'B' END"
+
+
+@_register("synthetic_tags", f"WITH {v.ITEMS_SQL} SELECT item_id, strftime(ts, '%Y/%m/%d %H:%M:%S') AS timestamp, {_UNITS_SQL} AS size_text, o_orderpriority AS name FROM items_v")
+def _synthetic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = v.items(spark, sf_dir)
+    tags = scalars.synthetic_tags(F.create_map(F.lit("name"), "o_orderpriority", F.lit("size"), F.lit("mine")), F.col("item_id"), F.col("ts"), F.col("size"))
+    return items.select(tags.alias("t")).select(*(F.try_element_at("t", F.lit(k)).alias(n) for k, n in (("id", "item_id"), ("timestamp", "timestamp"), ("size", "size_text"), ("name", "name"))))
+
+
+@_register("format_size", f"SELECT n, {_UNITS_SQL.replace('size', 'n')} AS text FROM (SELECT CAST(trunc(l_extendedprice) AS BIGINT) * (l_partkey % 7 + 1) * (l_suppkey % 5 + 1) * l_orderkey AS n FROM lineitem)")
+def _format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = v.table(spark, sf_dir, "lineitem").select(F.expr("cast(l_extendedprice AS bigint) * (l_partkey % 7 + 1) * (l_suppkey % 5 + 1) * l_orderkey").alias("n"))
+    return n.select("n", scalars.format_size(F.col("n")).alias("text"))
+
+
+def _mode_sql() -> str:
+    parts = ["CASE mode & 61440 " + " ".join(f"WHEN {k} THEN '{names[2]}'" for k, names in scalars.KINDS.items()) + " ELSE '?' END"]
+    for shift, special, low in ((6, 2048, "s"), (3, 1024, "s"), (0, 512, "t")):
+        parts += [f"CASE WHEN mode & {4 << shift} <> 0 THEN 'r' ELSE '-' END", f"CASE WHEN mode & {2 << shift} <> 0 THEN 'w' ELSE '-' END"]
+        parts.append(f"CASE WHEN mode & {special} <> 0 THEN CASE WHEN mode & {1 << shift} <> 0 THEN '{low}' ELSE '{low.upper()}' END WHEN mode & {1 << shift} <> 0 THEN 'x' ELSE '-' END")
+    return " || ".join(f"({p})" for p in parts)
+
+
+@_register("mode_string", f"WITH {v.MODES_SQL} SELECT p_partkey, {_mode_sql()} AS mode_text, CASE mode & 61440 " + " ".join(f"WHEN {k} THEN '{n[0]}'" for k, n in scalars.KINDS.items()) + " ELSE 'other' END AS kind, CASE mode & 61440 " + " ".join(f"WHEN {k} THEN '{n[1]}'" for k, n in scalars.KINDS.items()) + " ELSE '?' END AS type_char FROM modes_v")
+def _mode_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("mode")
+    return v.modes(spark, sf_dir).select("p_partkey", scalars.display_mode(m).alias("mode_text"), scalars.kind(m).alias("kind"), scalars.type_char(m).alias("type_char"))
+
+
+@_register("path_order", "WITH p AS (SELECT DISTINCT url AS path FROM pages) SELECT path, CAST(row_number() OVER (ORDER BY list_transform(string_split(path, '/'), lambda c, i: {'below': i < len(string_split(path, '/')), 'name': encode(c)})) AS BIGINT) AS place FROM p")
+def _path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by one range-partitioned sort; the rank within a partition and the sizes of those before it need no single task."""
+    from pyspark.sql import Window
+
+    paths = v.table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct()
+    parts = paths.select("path", scalars.path_key(F.col("path")).alias("key")).repartitionByRange("key").select("path", "key", F.spark_partition_id().alias("part"))
+    local = parts.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("key")))
+    sizes = local.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return local.join(F.broadcast(sizes), "part").select("path", (F.col("own") + F.col("before")).alias("place"))
+
+
+@_register("tag_display", f"WITH {v.DOCS_SQL} SELECT doc_id, 'lang=\"' || lang || '\"' || coalesce(' quality=\"' || quality || '\"', '') || ' source=\"' || source || '\"' || coalesce(' toxic=\"' || toxic || '\"', '') AS line FROM docs_v")
+def _tag_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.docs(spark, sf_dir).select("doc_id", scalars.human_tags(F.col("tags")).alias("line"))
+
+
+# The operation log.
+
+
+@_register("oplog_live", f"WITH {v.OPLOG_SQL} SELECT item_id, added_at FROM live")
+def _oplog_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.live_items(v.oplog(spark, sf_dir)).select("item_id", "added_at")
+
+
+@_register("oplog_removed", f"WITH {v.OPLOG_SQL} SELECT item_id, added_at, removed_at FROM states WHERE NOT (removed_at IS NULL OR coalesce(recovered_at > removed_at, false))")
+def _oplog_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.removed_items(v.oplog(spark, sf_dir)).select("item_id", "added_at", "removed_at")
+
+
+@_register("oplog_compact", f"WITH {v.OPLOG_SQL} SELECT o.log_offset, o.op FROM oplog_v o JOIN live ON live.added_at = o.log_offset WHERE o.op = 'AddItem'")
+def _oplog_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = v.oplog(spark, sf_dir)
+    return oplog.compact(log, oplog.live_items(log)).select("log_offset", "op")
+
+
+@_register("oplog_tail", f"WITH {v.OPLOG_SQL} SELECT log_offset, op FROM oplog_v WHERE log_offset > 500 AND log_offset <= 9000")
+def _oplog_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.tail(v.oplog(spark, sf_dir), 500, 9000).select("log_offset", "op")
+
+
+@_register("remove_existing", f"WITH {v.OPLOG_SQL} SELECT count(DISTINCT item) AS removed FROM (SELECT unnest([log_offset - 1, log_offset - 3]) AS item FROM oplog_v WHERE op = 'RemoveItems') r SEMI JOIN (SELECT log_offset FROM oplog_v WHERE op = 'AddItem') a ON a.log_offset = r.item")
+def _remove_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = v.oplog(spark, sf_dir)
+    asked = log.select(F.explode("removed_ids").alias("item_id")).distinct()
+    return asked.join(log.where("op = 'AddItem'").select("item_id"), "item_id", "left_semi").agg(F.count("*").alias("removed"))
+
+
+# File indexes.
+
+
+@_register("list_contents_pick", f"WITH {v.snapshot_sql('a')} SELECT substr(path, length('en/src1/') + 1) AS path, size FROM snap_a WHERE path LIKE 'en/src1/%'")
+def _list_contents_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.pick(v.snapshot(spark, sf_dir, "a"), "en/src1").select("path", "size")
+
+
+def _diff_sql(same: str) -> str:
+    return f"""WITH {v.snapshot_sql('a')}, {v.snapshot_sql('b')}, j AS (SELECT a.path AS ap, b.path AS bp, a.size AS asz, b.size AS bsz, a.data_hash AS ah, b.data_hash AS bh,
+      a.path IS NOT NULL AND b.path IS NOT NULL AND {same} AS same FROM snap_a a FULL OUTER JOIN snap_b b ON a.path = b.path)
+    SELECT '-' AS op, ap AS path, asz AS size, ah AS data_hash FROM j WHERE ap IS NOT NULL AND NOT same
+    UNION ALL SELECT '+', bp, bsz, bh FROM j WHERE bp IS NOT NULL AND NOT same"""
+
+
+def _diff(ignore: frozenset[str]) -> Query:
+    return lambda spark, sf_dir: index.diff(v.snapshot(spark, sf_dir, "a"), v.snapshot(spark, sf_dir, "b"), ignore).select("op", "path", "size", "data_hash")
+
+
+_register("snapshot_diff", _diff_sql("a.size = b.size AND a.data_hash = b.data_hash AND a.mtime = b.mtime"))(_diff(index.ignored()))
+_register("snapshot_diff_relaxed", _diff_sql("a.size = b.size AND a.data_hash = b.data_hash"))(_diff(index.ignored(relaxed=True)))
+_register("snapshot_diff_ignore_content", _diff_sql("a.mtime = b.mtime"))(_diff(index.ignored("content")))
+
+
+@_register("restore_plan", f"""WITH {v.snapshot_sql('a')}, {v.snapshot_sql('b')}, j AS (SELECT a.path AS ap, b.path AS bp, coalesce(a.data_hash = b.data_hash, false) AS same FROM snap_a a FULL OUTER JOIN snap_b b ON a.path = b.path)
+  SELECT 'delete' AS action, ap AS path FROM j WHERE ap IS NOT NULL AND NOT same UNION ALL SELECT 'download', bp FROM j WHERE bp IS NOT NULL AND NOT same""")
+def _restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.restore_plan(v.snapshot(spark, sf_dir, "a"), v.snapshot(spark, sf_dir, "b")).select("action", "path")
+
+
+@_register("hardlink_first", f"WITH {v.LINKS_SQL} SELECT seq, path, first_path FROM (SELECT *, CASE WHEN nlink > 1 AND row_number() OVER w > 1 THEN first_value(path) OVER w END AS first_path FROM links_v WINDOW w AS (PARTITION BY dev, ino ORDER BY seq))")
+def _hardlink_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.hard_links(v.links(spark, sf_dir).withColumnRenamed("dev", "norm_dev")).select("seq", "path", "first_path")
+
+
+@_register("norm_dev", f"WITH {v.LINKS_SQL}, f AS (SELECT dev, min(seq) AS s FROM links_v GROUP BY dev), r AS (SELECT dev, CAST(dense_rank() OVER (ORDER BY s) - 1 AS BIGINT) AS norm_dev FROM f) SELECT seq, norm_dev FROM links_v JOIN r USING (dev)")
+def _norm_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.normalized_devices(v.links(spark, sf_dir)).select("seq", "norm_dev")
+
+
+_PICKED = "seq % 3 <> 0"
+
+
+@_register("data_map_ranges", f"""WITH {v.CURSORS_SQL}, spans AS (SELECT source, seq, s, last - CASE WHEN last > s AND eo = 0 THEN 1 ELSE 0 END AS e FROM cursors_v WHERE size > 0 AND {_PICKED}),
+  m AS (SELECT *, lag(e) OVER (PARTITION BY source ORDER BY seq) AS b FROM spans), i AS (SELECT *, sum(CASE WHEN s = b OR s = b + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY seq) AS island FROM m)
+  SELECT source, min(s) AS start_idx, max(e) AS end_idx FROM i GROUP BY source, island""")
+def _data_map_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.chunk_ranges(v.cursors(spark, sf_dir), "source", selected=F.expr(_PICKED)).select("source", "start_idx", "end_idx")
+
+
+@_register("data_map_partial", f"""WITH {v.CURSORS_SQL}, p AS (SELECT source, s AS c, so AS a, CASE WHEN last = s THEN eo ELSE {1 << 62} END AS b FROM cursors_v WHERE size > 0 AND {_PICKED}
+  UNION ALL SELECT source, last, 0, eo FROM cursors_v WHERE size > 0 AND {_PICKED} AND last > s),
+  q AS (SELECT *, max(b) OVER (PARTITION BY source, c ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM p WHERE a < b),
+  i AS (SELECT *, sum(CASE WHEN a <= r THEN 0 ELSE 1 END) OVER (PARTITION BY source, c ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM q),
+  g AS (SELECT source, c, min(a) AS a, max(b) AS b FROM i GROUP BY source, c, island)
+  SELECT source, c AS chunk_idx, a AS start, CASE WHEN b < {1 << 62} THEN b ELSE -1 END AS stop FROM g WHERE a > 0 OR b < {1 << 62}""")
+def _data_map_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.partial_chunks(v.cursors(spark, sf_dir), "source", selected=F.expr(_PICKED)).select("source", "chunk_idx", "start", F.coalesce("stop", F.lit(-1)).alias("stop"))
+
+
+@_register("exclude_globs", "SELECT event_id FROM events WHERE NOT (regexp_full_match('/' || event_type || '/' || event_id, '(.*/)?click(/.*)?') OR regexp_full_match('/' || event_type || '/' || event_id, '/view/[^/]*7'))")
+def _exclude_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = v.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("/"), "event_type", F.lit("/"), F.col("event_id").cast("string")).alias("path"))
+    return index.exclude(entries, [globs.exclusion("click"), globs.exclusion("/view/*7")]).select("event_id")
+
+
+@_register("exclude_marker", "WITH e AS (SELECT event_id, 'u' || user_id AS dir, CASE WHEN event_id % 50 = 0 THEN '.keep' ELSE 'f' || event_id END AS name FROM events) SELECT event_id FROM e WHERE name = '.keep' OR dir NOT IN (SELECT dir FROM e WHERE name = '.keep')")
+def _exclude_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("event_id") % 50 == 0, ".keep").otherwise(F.concat(F.lit("f"), F.col("event_id").cast("string")))
+    entries = v.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), name).alias("path"))
+    return index.exclude_marked(entries, [".keep"]).select("event_id")
+
+
+@_register("entry_batches", "WITH e AS (SELECT event_id, event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 128 AS k FROM events) SELECT event_type || '#' || k AS batch, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL")
+def _entry_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sendlog.batches(v.links(spark, sf_dir).select("path", "seq")).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+@_register("root_pruning", "WITH r AS (SELECT DISTINCT url AS p FROM pages) SELECT p AS path FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE starts_with(r.p, q.p || '/'))")
+def _root_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots below no other root: each path's proper ancestors are listed, so the test is an equality join."""
+    roots = v.table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct()
+    above = F.expr("transform(sequence(1, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
+    inside = roots.where(F.size(F.split("path", "/")) > 1).select(F.col("path").alias("child"), F.explode(above).alias("path")).join(roots, "path", "left_semi").select(F.col("child").alias("path")).distinct()
+    return roots.join(inside, "path", "left_anti")
+
+
+# Chunks, trees and collection.
+
+
+@_register("content_address", "SELECT doc_id, sha256(text) AS address FROM documents")
+def _content_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.table(spark, sf_dir, "documents").select("doc_id", scalars.content_address(F.col("text")).alias("address"))
+
+
+@_register("chunk_dedup_stats", f"WITH {v.PIECES_SQL}, u AS (SELECT address, min(n_bytes) AS n FROM pieces_v GROUP BY address) SELECT (SELECT count(*) FROM pieces_v) AS chunks, (SELECT CAST(sum(n_bytes) AS BIGINT) FROM pieces_v) AS bytes, count(*) AS distinct_chunks, CAST(sum(n) AS BIGINT) AS distinct_bytes FROM u")
+def _chunk_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = v.pieces(spark, sf_dir).groupBy("address").agg(F.count("*").alias("k"), F.sum("n_bytes").alias("total"), F.min("n_bytes").alias("n"))
+    return by.agg(F.sum("k").alias("chunks"), F.sum("total").alias("bytes"), F.count("*").alias("distinct_chunks"), F.sum("n").alias("distinct_bytes"))
+
+
+@_register("flush_stats", f"WITH {v.PIECES_SQL}, n AS (SELECT address, min(n_bytes) AS n FROM pieces_v WHERE doc_id % 2 = 1 GROUP BY address) SELECT count(*) AS added_chunks, CAST(coalesce(sum(n), 0) AS BIGINT) AS added_bytes FROM n WHERE address NOT IN (SELECT address FROM pieces_v WHERE doc_id % 2 = 0)")
+def _flush_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = v.pieces(spark, sf_dir)
+    return chunks.flush_stats(chunks.new_chunks(pieces.where("doc_id % 2 = 1"), pieces.where("doc_id % 2 = 0")))
+
+
+@_register("chunk_missing", f"WITH {v.PIECES_SQL} SELECT DISTINCT address FROM pieces_v WHERE doc_id % 3 = 0 AND address NOT IN (SELECT address FROM pieces_v WHERE doc_id % 3 <> 0)")
+def _chunk_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = v.pieces(spark, sf_dir)
+    return chunks.missing(pieces.where("doc_id % 3 = 0"), pieces.where("doc_id % 3 <> 0"))
+
+
+@_register("htree_leaf_counts", f"SELECT '1/' || (doc_id // {v.FANOUT}) AS parent, CAST(count(*) AS BIGINT) AS leaf_count FROM documents GROUP BY 1")
+def _htree_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.fixed_tree(spark, sf_dir).groupBy("parent").agg(F.count("*").alias("leaf_count"))
+
+
+@_register("htree_walk", f"""WITH RECURSIVE edges AS (SELECT 'd' || doc_id AS child, 'n1/' || doc_id // {v.FANOUT} AS parent FROM documents
+  UNION ALL SELECT DISTINCT 'n1/' || doc_id // {v.FANOUT}, 'n2/' || doc_id // {v.FANOUT ** 2} FROM documents), walk AS (SELECT 'n2/0' AS address, 2 AS height UNION SELECT e.child, w.height - 1 FROM walk w JOIN edges e ON e.parent = w.address WHERE w.height > 0)
+  SELECT DISTINCT address FROM walk""")
+def _htree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = v.table(spark, sf_dir, "documents")
+    low = d.selectExpr("concat('d', doc_id) AS child", f"concat('n1/', doc_id div {v.FANOUT}) AS parent")
+    high = d.selectExpr(f"concat('n1/', doc_id div {v.FANOUT}) AS child", f"concat('n2/', doc_id div {v.FANOUT ** 2}) AS parent").distinct()
+    return htree.reachable(spark.createDataFrame([("n2/0", 2)], "root string, height int"), low.unionByName(high))
+
+
+@_register("range_fetch", f"""WITH {v.CURSORS_SQL}, l AS (SELECT DISTINCT source, unnest(range(s, last + 1)) AS idx FROM cursors_v), r AS (SELECT source, min(s) + 3 AS a, min(s) + 7 AS b FROM cursors_v GROUP BY source)
+  SELECT l.source, l.idx FROM l JOIN r ON l.source = r.source AND l.idx BETWEEN r.a AND r.b""")
+def _range_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = index.absolute_chunks(v.cursors(spark, sf_dir), "source")
+    idx = placed.select("source", F.explode(F.sequence("first_chunk", F.col("first_chunk") + F.col("data_cursor.chunk_delta"))).alias("idx")).distinct()
+    ranges = placed.groupBy("source").agg((F.min("first_chunk") + 3).alias("a"), (F.min("first_chunk") + 7).alias("b"))
+    return idx.join(ranges, "source").where("idx BETWEEN a AND b").select("source", "idx")
+
+
+_KEPT = "doc_id % 4 <> 0"
+
+
+@_register("gc_sweep", f"""WITH {v.PIECES_SQL}, c AS (SELECT address, min(n_bytes) AS n FROM pieces_v GROUP BY address), k AS (SELECT c.*, address IN (SELECT address FROM pieces_v WHERE {_KEPT}) AS kept FROM c)
+  SELECT count(*) FILTER (WHERE NOT kept) AS chunks_deleted, CAST(coalesce(sum(n) FILTER (WHERE NOT kept), 0) AS BIGINT) AS bytes_deleted, count(*) FILTER (WHERE kept) AS chunks_remaining, CAST(coalesce(sum(n) FILTER (WHERE kept), 0) AS BIGINT) AS bytes_remaining FROM k""")
+def _gc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = v.pieces(spark, sf_dir)
+    return chunks.sweep_stats(pieces.groupBy("address").agg(F.min("n_bytes").alias("n_bytes")), pieces.where(_KEPT))
+
+
+@_register("gc_deleted_chunks", f"WITH {v.PIECES_SQL} SELECT DISTINCT address FROM pieces_v WHERE address NOT IN (SELECT address FROM pieces_v WHERE {_KEPT})")
+def _gc_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = v.pieces(spark, sf_dir)
+    return pieces.select("address").distinct().join(pieces.where(_KEPT).select("address"), "address", "left_anti")
+
+
+@_register("sync_missing_items", f"WITH {v.OPLOG_SQL} SELECT item_id FROM live WHERE added_at % 3 <> 0")
+def _sync_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = oplog.live_items(v.oplog(spark, sf_dir))
+    return live.select("item_id").join(live.where("added_at % 3 = 0").select("item_id"), "item_id", "left_anti")
+
+
+@_register("sync_missing_chunks", f"WITH {v.PIECES_SQL} SELECT address, min(n_bytes) AS n_bytes FROM pieces_v WHERE doc_id % 5 = 0 AND address NOT IN (SELECT address FROM pieces_v WHERE doc_id % 5 IN (1, 2)) GROUP BY address")
+def _sync_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = v.pieces(spark, sf_dir)
+    return chunks.new_chunks(pieces.where("doc_id % 5 = 0"), pieces.where("doc_id % 5 IN (1, 2)")).select("address", "n_bytes")
+
+
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.table(spark, sf_dir, "events").selectExpr("cast(event_id AS string) AS address", "concat('g', user_id % 3) AS gc_generation", "concat('s', event_id % 4) AS latest_session_id", "IF(event_type = 'error', NULL, event_type) AS item_id")
+
+
+_SENT_SQL = "s AS (SELECT CAST(event_id AS VARCHAR) AS address, 'g' || user_id % 3 AS gc_generation, 's' || event_id % 4 AS latest_session_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS item_id FROM events)"
+
+
+@_register("sendlog_invalidate", f"WITH {_SENT_SQL} SELECT address FROM s WHERE gc_generation = 'g1' OR coalesce(item_id = 'view', false)")
+def _sendlog_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sendlog.invalidate(_sent(spark, sf_dir), "g1", "view").select("address")
+
+
+@_register("sendlog_commit", f"WITH {_SENT_SQL} SELECT address, 'done' AS item_id FROM s WHERE latest_session_id = 's2'")
+def _sendlog_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sendlog.commit(_sent(spark, sf_dir), "s2", "done").select("address", "item_id")
+
+
+@_register("sendlog_touch", f"WITH {_SENT_SQL}, n AS (SELECT CAST(event_id + 5000 AS VARCHAR) AS address FROM events WHERE event_id % 2 = 0) SELECT s.address, s.gc_generation, s.item_id FROM s ANTI JOIN n USING (address) UNION ALL SELECT n.address, 'g9', s.item_id FROM n LEFT JOIN s USING (address)")
+def _sendlog_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = v.table(spark, sf_dir, "events").where("event_id % 2 = 0").selectExpr("cast(event_id + 5000 AS string) AS address")
+    return sendlog.touch(_sent(spark, sf_dir), seen, "address", "g9", "s9").select("address", "gc_generation", "item_id")
+
+
+@_register("compression_ratio", f"WITH {v.PIECES_SQL}, u AS (SELECT address, min(n_bytes) AS n FROM pieces_v GROUP BY address) SELECT round((SELECT sum(n_bytes) FROM pieces_v) / sum(n), 6) AS ratio FROM u")
+def _ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = v.pieces(spark, sf_dir).groupBy("address").agg(F.sum("n_bytes").alias("total"), F.min("n_bytes").alias("n"))
+    return by.agg(F.round(F.sum("total") / F.sum("n"), 6).alias("ratio"))
+
+
+# Byte-level operators, without SQL.
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), F.col("text").cast("binary").alias("data"))
+
+
+@_register("cdc_chunks")
+def _cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined chunks of all texts; smaller sizes than for files, as texts are short."""
+    return chunks.chunk_streams(_streams(spark, sf_dir), min_size=512, max_size=8192, mask=0xFF800000).select("stream_id", "pos", "address", "n_bytes")
+
+
+@_register("compress_roundtrip", "SELECT doc_id, true AS same FROM documents")
+def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = v.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).withColumn("packed", chunks.compress(F.col("data")))
+    return packed.select("doc_id", (chunks.decompress(F.col("packed")) == F.col("data")).alias("same"))
+
+
+@_register("encrypt_roundtrip", "SELECT doc_id, true AS same, true AS hidden FROM documents")
+def _encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, other = F.lit(b"0123456789abcdef"), F.lit(b"fedcba9876543210")
+    sealed = v.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("data")).withColumn("sealed", chunks.encrypt(F.col("data").cast("binary"), key))
+    return sealed.select("doc_id", (chunks.decrypt(F.col("sealed"), key).cast("string") == F.col("data")).alias("same"), chunks.decrypt(F.col("sealed"), other).isNull().alias("hidden"))
+
+
+@_register("bloom_probe", f"WITH {v.PIECES_SQL} SELECT CAST(count(DISTINCT address) AS BIGINT) AS held FROM pieces_v WHERE doc_id % 2 = 0")
+def _bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All addresses that a filter was built from are found in it."""
+    from ..operators import bloom
+
+    own = v.pieces(spark, sf_dir).where("doc_id % 2 = 0").select("address").distinct()
+    bits = bloom.build(own, bloom.gc_size(own.count()))
+    return own.where(bloom.probe(bits, F.col("address"))).agg(F.count("*").alias("held"))
+
+
+@_register("htree_build")
+def _htree_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = v.pieces(spark, sf_dir).join(v.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return htree.build(pieces.select(F.col("source").alias("tree_id"), F.struct("doc_id", "pos").alias("pos"), "address"), min_size=htree.MIN_NODE, max_size=1024)
