@@ -11,11 +11,16 @@ there, with at most 2u/9 differences; a pair on both sides of a boundary u meets
 band of u, with at most u/4. Every document is in its band, and in a straddling band if its size is
 within a factor of 1.25 of a boundary.
 
+Blocks with less than two set bits say little and are left out, but for a set with so many of them
+that no others might agree with a linked set (its linked sets then keep theirs too).
+
 Buckets: documents with one set count once (a class). Buckets of up to SMALL classes give all their
-pairs. Larger ones give the pairs with their smallest class first; when these are verified and
-joined to components, only pairs of different components remain, and of classes that could have
-missed each other: a class with fewer hot or empty blocks than m - d shares a small bucket with each
-of its links.
+pairs. Larger, hot ones matter only for classes whose agreeing blocks may all be hot or left out (bound
+classes); any other class meets each of its links in a small bucket. Bound classes are joined among
+themselves on their rarest shingles: two linked sets share one of the n - ceil(0.8 n) + 1 that fewest
+bound classes hold, and what is rarer there bounds what they can have in common. Of what is still hot
+(groups of thousands of near copies), pairs with the most typical class come first; when they are
+verified and joined to components, only pairs of different components remain.
 
 Verification counts common hashes exactly. Nothing is capped or dropped.
 
@@ -26,48 +31,52 @@ for they can't name a component; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, distinct_shingles, materialize, mix, shuffle_partitions, slices, table, text_buffers
 
-SMALL = 24
+SMALL = 8
 BLOOM_BITS = 1 << 24
 STAGED = "kind int, a long, b long, c long, d long"
 
 
-def blocks_of(limit: int, most: int) -> int:
-    """Blocks for sizes below `limit` and `most` differences: finer for small sets, whose signatures cost little."""
-    return max(most + 1, int(np.ceil(limit * (1.0 if limit <= 256 else 0.5 if limit <= 512 else 0.27))) + 2)
+def blocks_of(limit: int, most: int, share: float) -> int:
+    """Blocks for sizes up to `limit` and `most` differences: more for small sets, whose signatures cost little."""
+    return max(most + 1, int(np.ceil(limit * (1.0 if limit <= 128 else max(share, 0.4) if limit <= 512 else share))) + 2)
 
 
 def bands(n: int) -> list[tuple[int, int, int]]:
     """(band id, blocks, most differences) for a set of n > 0 shingles."""
     k = int(n).bit_length()
     upper = 1 << k
-    out = [(2 * k, blocks_of(upper, 2 * upper // 9), 2 * upper // 9)]
+    out = [(2 * k, blocks_of(upper, 2 * upper // 9, 0.3), 2 * upper // 9)]
     for boundary in (upper >> 1, upper):
         if boundary > 1 and 4 * boundary <= 5 * n and 4 * n <= 5 * boundary:
-            out.append((2 * (boundary.bit_length() - 1) + 1, blocks_of(boundary, boundary // 4), boundary // 4))
+            out.append((2 * (boundary.bit_length() - 1) + 1, blocks_of(boundary, boundary // 4, 0.33), boundary // 4))
     return out
 
 
 def signatures(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, int, int]]:
-    """For each band (band id, keys of the blocks that aren't empty, empty blocks, blocks that must agree)."""
+    """For each band (band id, keys of the blocks kept, blocks left out, blocks that must agree with a linked set's)."""
+    bits = mix(hashes ^ np.uint64(0x5BD1E995))
     for band, m, most in bands(len(hashes)):
+        most = min(most, len(hashes) // 4)  # a partner has at most 5/4 times the size
         block = (hashes % np.uint64(m)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         cut = np.flatnonzero(np.diff(block[order], prepend=-1))
-        parity = np.bitwise_xor.reduceat(mix(hashes[order] ^ np.uint64(0x5BD1E995)), cut)
-        keys = mix(parity ^ mix((block[order][cut].astype(np.uint64) << np.uint64(8)) + np.uint64(band)))
-        most = min(most, len(hashes) // 4)  # a partner has at most 5/4 times the size
-        if len(cut) <= most:  # then only empty blocks might agree: these sets meet under one more key
+        size = np.diff(np.append(cut, len(order)))
+        keys = mix(np.bitwise_xor.reduceat(bits[order], cut) ^ mix((block[order][cut].astype(np.uint64) << np.uint64(8)) + np.uint64(band)))
+        spare = m - most
+        if m - int((size > 1).sum()) < spare:
+            keys = keys[size > 1]
+        elif len(cut) <= most:  # even empty blocks may be all that agree: these sets meet under one more key
             keys = np.append(keys, mix(np.array([~np.uint64(band)], np.uint64)))
-        yield band, keys, m - len(cut), m - most
+        yield band, keys, m - len(keys), spare
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -88,7 +97,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
 
 
 def _emit(parts: int):
-    """Rows (part, kind, body): kind 0 holds (class, doc_id, size), kind 1 (key, class), kind 2 (class, band, empty blocks, agreeing blocks)."""
+    """Rows (part, kind, body): kind 0 holds (class, doc_id, size), kind 1 (key, class), kind 2 (class, band, blocks left out, blocks that must agree)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _documents(batches):
@@ -133,7 +142,7 @@ def _rows(kind: int, *columns) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From one part's bodies: kind 0 (class, doc, size), 1 (class, class) of small buckets, 2 (key, class) of hot ones, 3 (class, band, empty, agreeing)."""
+    """From one part's bodies: kind 0 (class, doc, size), 1 (class, class) of small buckets, 2 (key, class) of hot ones, 3 (class, band, left out, agreeing)."""
     bodies: dict[int, list[bytes]] = {0: [], 1: [], 2: []}
     for batch in batches:
         for kind, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -179,46 +188,94 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(1, *found[np.concatenate([[True], (found[1:] != found[:-1]).any(1)])].T)
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, hashes) of the classes asked for, one row each.
-
-    A Bloom filter of a fixed size goes to the tasks that read the texts, so that few other sets leave them; what it lets through is dropped by the join."""
-    spark = docs.sparkSession
-    wanted = classes.distinct()
-    bit = F.pmod(F.col("class"), F.lit(BLOOM_BITS))
+def wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of a fixed size over (class, rep), which goes to the tasks that read the texts, so that few other sets leave them."""
+    bit = F.pmod(F.col("class").bitwiseXOR(F.col("rep") * 0x5851F42D), F.lit(BLOOM_BITS))
     maps = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("chunk")).agg(F.bitmap_construct_agg((F.col("bit") % 32768).cast("int")).alias("bits")).collect()
     bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
     for row in maps:
         bloom[row.chunk * 4096 : (row.chunk + 1) * 4096] = np.frombuffer(bytes(row.bits), np.uint8)
-    sent = spark.sparkContext.broadcast(bloom)
+    return bloom
+
+
+def is_wanted(bloom: np.ndarray, name: int, doc: int) -> bool:
+    at = (name ^ ((doc * 0x5851F42D + (1 << 63)) % (1 << 64) - (1 << 63))) % BLOOM_BITS
+    return bool(bloom[at >> 3] >> (at & 7) & 1)
+
+
+def set_batch(out: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    at = np.zeros(len(out) + 1, np.int32)
+    np.cumsum([len(x[2]) for x in out], out=at[1:])
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([x[2] for x in out]).view(np.int64)))], names=["class", "rep", "hashes"])
+
+
+SET_SCHEMA = "class long, rep long, hashes array<long>"
+
+
+def document_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, rep, hashes) of the classes asked for, each from its document `rep`; others that the filter lets through don't join anything later."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, seen = sent.value, set()
-        for _, sets in _documents(batches):
-            out = []
-            for own in sets:
-                name = class_of(own)
-                at = name % BLOOM_BITS
-                if name and name not in seen and bloom[at >> 3] >> (at & 7) & 1:
-                    seen.add(name)
-                    out.append((name, own))
+        bloom = sent.value
+        for ids, sets in _documents(batches):
+            out = [(name, doc, own) for doc, own in zip(ids, sets, strict=True) if (name := class_of(own)) and is_wanted(bloom, name, doc)]
             if out:
-                at = np.zeros(len(out) + 1, np.int32)
-                np.cumsum([len(x) for _, x in out], out=at[1:])
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([x for _, x in out]).view(np.int64)))], names=["class", "hashes"])
+                yield set_batch(out)
+
+    return docs.mapInArrow(run, SET_SCHEMA)
 
-    sets = docs.mapInArrow(run, "class long, hashes array<long>")
-    return sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("hashes").alias("hashes"))
 
+def verified(pairs: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
+    """The pairs (a, b) of classes for which 100 * intersection >= percent * union, by counting.
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The pairs (a, b) of classes for which 100 * intersection >= percent * union, by counting."""
-    pairs = materialize(pairs)
-    sets = materialize(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("class"))), "lz4")
-    both = pairs.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
+    classes: (class, rep, n_shingles); pairs whose sizes alone rule a link out need no sets."""
+    left, right = classes.toDF("a", "rep_a", "n_a"), classes.toDF("b", "rep_b", "n_b")
+    pairs = materialize(pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("rep_a").alias("rep")), F.struct(F.col("b").alias("class"), F.col("rep_b").alias("rep")))).alias("x")).select("x.class", "x.rep").distinct()
+    sets = materialize(sets_of(wanted), "uncompressed")
+    both = pairs.select("a", "b", "rep_a", "rep_b").join(sets.toDF("b", "rep_b", "right"), ["b", "rep_b"]).join(sets.toDF("a", "rep_a", "left"), ["a", "rep_a"])
     common = F.size(F.array_intersect("left", "right")).cast("long")
     sized = both.select("a", "b", common.alias("n"), (F.size("left") + F.size("right")).cast("long").alias("total"))
-    return materialize(sized.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b"))
+    return materialize(sized.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b").distinct())
+
+
+#: Whether two sets that meet on their rank_l-th and rank_r-th rarest shingles, and on no rarer one, can have enough in common.
+CAN_LINK = "9 * (1 + least(l.n - l.rank, r.n - r.rank)) >= 4 * (l.n + r.n) AND 5 * least(l.n, r.n) >= 4 * greatest(l.n, r.n)"
+
+
+def link_buckets(small: DataFrame, hot: DataFrame, verify: Callable[[DataFrame], DataFrame], can_link: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) and components (id, component) from the pairs of small buckets and the members (key, class, n, rank) of hot ones.
+
+    The first member of a bucket is the one with the least share of shingles rarer than the key, so the most typical one."""
+    first = hot.groupBy("key").agg(F.min(F.struct((F.col("rank") / F.col("n")).alias("share"), "class", "n", "rank")).alias("f")).select("key", "f.class", "f.n", "f.rank")
+    stars = hot.alias("l").join(first.alias("r"), F.expr(f"l.key = r.key AND l.class <> r.class AND {can_link}"))
+    links = verify(small.unionByName(stars.selectExpr("least(l.class, r.class) AS a", "greatest(l.class, r.class) AS b")).distinct())
+    groups = materialize(components(links))
+    # Of hot buckets, what still lies in several components; of buckets with the same classes, one.
+    left = materialize(hot.join(groups.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")))
+    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = left.join(mixed, "key")
+    rest = left.alias("l").join(left.alias("r"), F.expr(f"l.key = r.key AND l.class < r.class AND l.component <> r.component AND {can_link}"))
+    rest = materialize(rest.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct())
+    if not rest.isEmpty():
+        links = links.unionByName(verify(rest)).distinct()
+        groups = components(links)
+    return links, groups
+
+
+def rare_buckets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that share one of their rarest shingles with few others, and members (key, class, n, rank) of the shingles that more share."""
+    rows = materialize(sets.select("class", F.size("hashes").alias("n"), F.explode("hashes").alias("key")))
+    often = rows.groupBy("key").agg(F.count("*").alias("often"))
+    own = Window.partitionBy("class").orderBy("often", "key")
+    prefix = rows.join(often, "key").withColumn("rank", F.row_number().over(own)).where(f"often > 1 AND rank <= n - ceil({percent} * n / 100) + 1")
+    prefix = materialize(prefix.select("key", "class", "n", "rank"))
+    size = prefix.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    kept = materialize(prefix.join(size, "key"))
+    few = kept.where(F.col("size") <= SMALL)
+    pairs = few.alias("l").join(few.alias("r"), F.expr(f"l.key = r.key AND l.class < r.class AND {CAN_LINK}")).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
+    return pairs, kept.where(F.col("size") > SMALL).select("key", "class", "n", "rank")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -230,23 +287,14 @@ def link_documents(docs: DataFrame) -> DataFrame:
     parts = shuffle_partitions(spark)
     staged = materialize(docs.mapInArrow(_emit(parts), "part int, kind int, body binary").repartition(parts, "part").mapInArrow(_bucket, STAGED))
     members = staged.where("kind = 0").select(F.col("a").alias("class"), F.col("b").alias("doc_id"), F.col("c").alias("n_shingles"))
+    classes = materialize(members.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
     hot = staged.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("class"))
-    first = hot.groupBy("key").agg(F.min("class").alias("a"))
-    stars = hot.join(first, "key").where("a < class").select("a", F.col("class").alias("b"))
-    links = verified(staged.where("kind = 1").select("a", "b").unionByName(stars).distinct(), docs)
-    groups = materialize(components(links))
-    # Of hot buckets, what still lies in several components, and only classes whose agreeing blocks may all be hot or empty.
     free = staged.where("kind = 3").groupBy(F.col("a").alias("class")).agg(F.min(F.col("d") - F.col("c")).alias("spare"))
     bound = hot.groupBy("class").agg(F.count("*").alias("n")).join(free, "class").where("n >= spare").select("class")
-    left = hot.join(bound, "class").join(groups.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    left = materialize(left)
-    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sign")).where("lo < hi").dropDuplicates(["n", "sign"]).select("key")
-    left = left.join(mixed, "key")
-    rest = left.alias("l").join(left.alias("r"), F.expr("l.key = r.key AND l.class < r.class AND l.component <> r.component")).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
-    rest = materialize(rest)
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, docs))
-        groups = components(links)
+    bound = materialize(bound.join(classes.select("class", "rep"), "class"))
+    close, hot = rare_buckets(document_sets(docs, bound).join(bound, ["class", "rep"], "left_semi").dropDuplicates(["class"]))
+    small = staged.where("kind = 1").select("a", "b").unionByName(close)
+    links, groups = link_buckets(small, materialize(hot), lambda pairs: verified(pairs, classes, lambda wanted: document_sets(docs, wanted)), CAN_LINK)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     placed = members.join(groups.select(F.col("id").alias("class"), "component"), "class", "left").join(degree, "class", "left")
     placed = placed.withColumn("component", F.coalesce("component", "class"))
