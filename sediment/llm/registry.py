@@ -9,6 +9,7 @@ MODULES = {
     "op1_lm_score": "scoring",
     "op2_chat": "chat",
     "op3_media": "media",
+    "op4_substring_dedup": "passages",
     "op5_jaccard_join": "jaccard",
     "op6_token_ids": "tokens",
     "op7_language": "language",
