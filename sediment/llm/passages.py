@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, shingle_hashes, shuffle_partitions, slices, table, text_buffers, word_hashes, word_spans
-from .jaccard import SET_SCHEMA, STAGED, _bucket, is_wanted, link_buckets, set_batch, verified, wanted_filter
+from .jaccard import CAN_LINK, SET_SCHEMA, STAGED, _bucket, is_wanted, link_buckets, rare_buckets, set_batch, verified, wanted_filter
 
 MIN_PIECE = 8
 MIN_RUN = 25
@@ -144,10 +144,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = materialize(occurrences(docs))
     classes = materialize(found.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min("words").alias("words")))
     staged = materialize(docs.mapInArrow(_emit(parts), "part int, kind int, body binary").repartition(parts, "part").mapInArrow(_bucket, STAGED))
-    hot = materialize(staged.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("class"), F.lit(1).alias("n"), F.lit(1).alias("rank")))
+    # Classes of crowded buckets are joined on their rarest shingles instead, which loses none of their links.
+    crowded = materialize(staged.where("kind = 2").select(F.col("b").alias("class")).distinct().join(classes.select("class", "rep"), "class"))
+    close, hot = rare_buckets(piece_sets(docs, crowded).join(crowded, ["class", "rep"], "left_semi").dropDuplicates(["class"]))
+    small = staged.where("kind = 1").select("a", "b").unionByName(close)
     # Shingles of a paragraph may repeat; so its size for the first test is what it can be at most, and verification counts.
     known = classes.select("class", "rep", F.lit(1).alias("n_shingles"))
-    _, groups = link_buckets(staged.where("kind = 1").select("a", "b"), hot, lambda pairs: verified(pairs, known, lambda wanted: piece_sets(docs, wanted)))
+    _, groups = link_buckets(small, materialize(hot), lambda pairs: verified(pairs, known, lambda wanted: piece_sets(docs, wanted)), CAN_LINK)
     placed = classes.join(groups.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("cluster", F.coalesce("component", "class"))
     alone = placed.where("component IS NULL AND rep < last").select("class", "cluster", "rep")
     linked = placed.where("component IS NOT NULL")
