@@ -279,9 +279,9 @@ def rare_buckets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id, n_links) of documents (doc_id, text).
+    """(doc_id, n_shingles, class, component_id, n_verified_links) of documents (doc_id, text).
 
-    n_links counts the verified links that the components were built from, of the document's class."""
+    n_verified_links counts the verified links that the components were built from, of the document's class."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     parts = shuffle_partitions(spark)
@@ -295,12 +295,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     close, hot = rare_buckets(document_sets(docs, bound).join(bound, ["class", "rep"], "left_semi").dropDuplicates(["class"]))
     small = staged.where("kind = 1").select("a", "b").unionByName(close)
     links, groups = link_buckets(small, materialize(hot), lambda pairs: verified(pairs, classes, lambda wanted: document_sets(docs, wanted)), CAN_LINK)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_verified_links"))
     placed = members.join(groups.select(F.col("id").alias("class"), "component"), "class", "left").join(degree, "class", "left")
     placed = placed.withColumn("component", F.coalesce("component", "class"))
     least = placed.where("class <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "component", "left").select("doc_id", "n_shingles", "class", F.expr("CASE WHEN class = 0 THEN doc_id ELSE component_id END").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return placed.join(least, "component", "left").select("doc_id", "n_shingles", "class", F.expr("CASE WHEN class = 0 THEN doc_id ELSE component_id END").alias("component_id"), F.coalesce("n_verified_links", F.lit(0)).alias("n_verified_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_verified_links")

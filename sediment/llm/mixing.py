@@ -12,7 +12,8 @@ Defined results: a null source, language or topic is a value of its own; target
 are left out and the rest scaled to 1, and values without a target keep their observed share of what is left (none if the
 targets sum to 1 or more); cells without tokens get weight 0; null texts have no tokens, are never drawn;
 targets that can't hold together are met as closely as the last round left them; a null doc_id is drawn
-as one id; repeated rows are drawn together; an empty table gives no rows; other columns are kept.
+as one id; repeated rows are drawn together; an empty table gives no rows; other columns are kept, those
+with the names of results replaced.
 """
 
 from __future__ import annotations
@@ -141,6 +142,7 @@ def draw() -> Column:
 def sample(docs: DataFrame, weights: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, tokens: str = "n_tokens") -> DataFrame:
     """docs with token_weight, probability, weight (how often a drawn document counts) and keep."""
     keys = [f"__{d}" for d in dimensions]
+    docs = docs.drop("token_weight", "expected", "probability", "weight", "keep", *keys)
     keyed = docs.select("*", *(key_of(d) for d in dimensions))
     few = weights.count() <= MAX_CELLS
     joined = keyed.join(F.broadcast(weights) if few else weights, keys, "left").drop(*keys)
