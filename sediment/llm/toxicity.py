@@ -29,7 +29,9 @@ from .common import mix, slices, table, text_buffers, word_hashes, word_spans
 from .language import remainder
 
 #: Documents of the training sample; all counts are over all documents.
-MAX_TRAIN_DOCS = 20_000
+MAX_TRAIN_DOCS = 6_000
+#: Labels (12 bytes each) are broadcast up to this many, else both sides are shuffled.
+BROADCAST_LABELS = 1 << 20
 BITS = 18
 CHAIN = 64
 #: Letters, digits and non-ASCII bytes make words here, so that punctuation doesn't hide one.
@@ -206,7 +208,7 @@ def train(rows: DataFrame) -> dict | None:
     raw, at = text_buffers(texts)
     label = sample["label"].to_numpy()
     parts = []
-    for i, j in slices(at, 1 << 22):
+    for i, j in slices(at):
         _, _, first, begins, forms = places(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         doc = np.repeat(np.arange(i, j), np.diff(first))
         y = (lexicon[(forms[: 1 + len(PREFIXES)] >> np.uint64(42)).astype(np.int64)].any(0) & (label[doc] == 1)).astype(np.int64)
@@ -218,7 +220,7 @@ def train(rows: DataFrame) -> dict | None:
         parts.append((s[:, keep], begins[keep], y[keep], doc[keep]))
     field = train_field(*(np.concatenate([p[k] for p in parts], -1) for k in range(4)))
     x = []
-    for i, j in slices(at, 1 << 22):
+    for i, j in slices(at):
         _, _, first, begins, forms = places(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         p, _ = marginals(field["w"][slots(forms, begins)].sum(0) + field["bias"], begins, field["move"], field["start"])
         x.append(doc_features(p, first))
@@ -264,7 +266,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where(F.col("toxic").isNotNull() & F.coalesce(remainder(5) != 0, F.lit(False))).select("doc_id", F.col("toxic").alias("label")).distinct()
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(known) if known.count() <= BROADCAST_LABELS else known, "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
