@@ -35,7 +35,9 @@ from .common import materialize, shuffle_partitions, table
 END_ID = 2
 BLOCK_IDS = 1 << 20
 ROUNDS = 6
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+WORD_END = "</w>"
+MARKS = ".,!?;:"
 
 _STATE: dict[str, tuple] = {}
 
@@ -43,8 +45,9 @@ _STATE: dict[str, tuple] = {}
 class WordEncoder:
     """Encodes whole texts with a tokenizers file, word by word: ids of a word don't depend on what stands beyond white space.
 
-    A tokenizer for which that doesn't hold (one that keeps white space) must be used with by_word=False.
-    The cache of words is bounded; it only saves time."""
+    In such a file a run of letters is one piece, so a word of letters and a mark behind it are encoded apart, and
+    each piece's last token ends with WORD_END. A tokenizer for which that doesn't hold (one that keeps white space)
+    must be used with by_word=False. The cache of words is bounded; it only saves time."""
 
     def __init__(self, path: str, by_word: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,18 +55,48 @@ class WordEncoder:
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.cache: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+    def _by_offsets(self, words: list[str]) -> None:
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begins = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
+            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
             ids = np.array(found.ids, np.uint32)
-            cut = np.searchsorted(offsets[:, 0], np.append(begins, 1 << 60))
+            cut = np.searchsorted(starts, np.append(begins, 1 << 60))
             for w, a, b in zip(part, cut[:-1], cut[1:], strict=True):
                 self.cache[w] = ids[a:b].tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        letters, marked, other, cache = set(), [], [], self.cache
+        for w in words:
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1] in MARKS and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in cache:
+                    letters.add(w[:-1])
+            else:
+                other.append(w)
+        runs = sorted(letters)
+        parts = [runs[at : at + 500] for at in range(0, len(runs), 500)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(part):  # lower-casing may make two pieces of a letter
+                other += part
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(part, cut, strict=True):
+                cache[w] = raw[a:b]
+                a = b
+        self._by_offsets(other + [m for m in MARKS if m not in cache])
+        for w in marked:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, then END_ID, as little-endian unsigned 32-bit integers."""
         end = np.uint32(END_ID).tobytes()
@@ -75,7 +108,7 @@ class WordEncoder:
         cache = self.cache
         new = set().union(*split).difference(cache) if split else set()
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         return [b"".join(map(cache.__getitem__, words)) + end for words in split]
 
 
@@ -111,10 +144,15 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS) -
         rank = np.zeros(len(pairs), np.int64)
         rank[np.lexsort((pairs, often))] = np.arange(1, len(pairs) + 1)
         rank[~good] = 0
-        prio = np.zeros(len(seq) + 1, np.int64)
+        prio = np.zeros(len(seq) + 1, np.int64)  # that of the pair at i is at i + 1, between zeros
         prio[at + 1] = rank[which]
-        mid = prio[1:-1]
-        take = np.flatnonzero((mid > 0) & (mid > prio[:-2]) & (mid >= prio[2:]))
+        # Runs of one priority are one pair that overlaps itself: every other occurrence of a run above its neighbours.
+        begin = np.flatnonzero(np.diff(prio)) + 1
+        own = prio[begin]
+        top = (own > prio[begin - 1]) & (own > np.append(own[1:], 0))
+        stop = np.append(begin[1:], len(prio))[top]
+        size = (stop - begin[top] + 1) // 2
+        take = np.repeat(begin[top] - 1, size) + 2 * (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
         if not len(take):
             break
         used, symbol = np.unique(key[take], return_inverse=True)
