@@ -105,7 +105,7 @@ def test_sync(repo, spark, tmp_path):
 
 def test_permissions_and_keys(repo, spark, tmp_path):
     repo.put_bytes(b"x", {"a": "1"})
-    reader = rp.Repository(spark, repo.path, {"get"})
+    reader = rp.Repository(spark, repo.path, {"get"}, repo.key)
     assert reader.get("a=1") == b"x"
     for call in (lambda: reader.put_bytes(b"y"), lambda: reader.rm("a=1"), reader.gc, reader.recover_removed):
         with pytest.raises(rp.NotPermitted):
