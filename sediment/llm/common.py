@@ -59,7 +59,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("p", ())) < n:
         for key, base in (("p", _BASE), ("i", _BASE_INV)):
             p = np.full(max(n, SLICE_BYTES * 2), base, np.uint64)
@@ -115,7 +115,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hashes of the words with A-Z lower-cased; equal words have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_TABLE[LOWER[raw]] * up[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])

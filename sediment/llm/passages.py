@@ -6,8 +6,13 @@ Equal paragraphs are one class. Sets of at least four shingles get BANDS keys of
 each (recall 1 - (1 - s^ROWS)^BANDS: 0.987 for a similarity s of 0.8, 0.9996 for 0.9); smaller sets can only
 link with equal ones. Classes that share a key are verified by counting, and clustered by components.
 
-A cluster that lies in several documents is repeated. Adjacent repeated paragraphs make a run; runs of at
-least MIN_RUN words are returned, and those that aren't the first of their cluster are to be removed.
+As a paragraph's cuts depend on the text around a pasted passage, passages are also found by windows of MIN_RUN
+words, wherever they begin: of each NEAR windows in a row, the ones with the smallest hash are named (winnowing), so
+documents that share MIN_RUN + NEAR - 1 words in a row always share a named window. Equal windows are one cluster.
+
+A cluster that lies in several documents is repeated. Adjacent and overlapping repeated paragraphs and windows make a
+run; runs of at least MIN_RUN words are returned, and those that aren't the first of their cluster are to be removed.
+A run to keep may overlap one to be removed (a near copy that is itself copied); what is to be removed then goes.
 
 Defined results: null and empty texts have no paragraphs; rows with a null doc_id are left out; repeated
 rows of one doc_id are occurrences in one document; ties go to the smaller doc_id, then to the earlier
@@ -20,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_hashes, shuffle_partitions, slices, table, text_buffers, word_hashes, word_spans
+from .common import materialize, mix, powers, shingle_hashes, shuffle_partitions, slices, table, text_buffers, word_hashes, word_spans
 from .jaccard import CAN_LINK, SET_SCHEMA, STAGED, _bucket, is_wanted, link_buckets, rare_buckets, set_batch, verified, wanted_filter
 
 MIN_PIECE = 8
 MIN_RUN = 25
+NEAR = 13
 BANDS, ROWS = 6, 3
+_WINDOW = np.uint64(0x3C6EF372FE94F82B)
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -65,6 +72,34 @@ def piece_names(words: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(words + place * np.uint64(0x9E3779B97F4A7C15)), cut[:-1]) + np.diff(cut).astype(np.uint64)).view(np.int64)
 
 
+def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick over x[i : i + width], for all i with a whole window."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = pick(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def windows(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, 64-bit name) of the named windows of MIN_RUN words; first: each row's first word, and one more."""
+    n_out = np.maximum(np.diff(first) - MIN_RUN + 1, 0)
+    row = np.repeat(np.arange(len(n_out)), n_out)
+    if len(row) < NEAR:
+        zero = np.zeros(0, np.int64)
+        return zero, zero, zero
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n_out) - n_out, n_out) + np.repeat(first[:-1], n_out)
+    up, down = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words ^ _WINDOW) * up[: len(words)], out=total[1:])
+    names = mix((total[at + MIN_RUN] - total[at]) * down[at])
+    least = np.where(row[NEAR - 1 :] == row[: len(row) - NEAR + 1], _slide(names, NEAR, np.minimum), np.uint64(0))
+    pad = np.zeros(NEAR - 1, np.uint64)
+    own = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), NEAR, np.maximum) == names) & (names > 0))
+    return row[own], at[own], names[own].view(np.int64)
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
     for batch in batches:
         raw, at = text_buffers(batch.column(1))
@@ -74,15 +109,71 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq, start, stop, words, class): all paragraphs, as byte offsets in their texts."""
+    """(doc_id, first, last, start, stop, class): all paragraphs, as words [first, last) and byte offsets in their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, begin, (row, start, end, cut, words) in _batches(batches):
             if len(row):
-                seq = np.arange(len(row)) - np.searchsorted(row, row)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], seq, start - begin[row], end - begin[row], np.diff(cut), piece_names(words, cut))], names=["doc_id", "seq", "start", "stop", "words", "class"])
+                base = cut[np.searchsorted(row, row)]  # the first word of the text
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], cut[:-1] - base, cut[1:] - base, start - begin[row], end - begin[row], piece_names(words, cut))], names=["doc_id", "first", "last", "start", "stop", "class"])
+
+    return docs.mapInArrow(run, "doc_id long, first long, last long, start long, stop long, class long")
+
+
+#: Columns of a body of windows, one after the other: name, doc_id, first word, first byte, bytes.
+_PACKED = (np.int64, np.int64, np.int32, np.int32, np.int32)
+
+
+def _emit_windows(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = text_buffers(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in slices(at):
+                own, begin = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+                starts, ends, first = word_spans(own, begin)
+                row, word, names = windows(word_hashes(own, starts, ends), first)
+                if not len(row):
+                    continue
+                part = ((names.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                columns = (names, ids[i:j][row], word - first[row], starts[word] - begin[row], ends[word + MIN_RUN - 1] - starts[word])
+                columns = [c[order].astype(t) for c, t in zip(columns, _PACKED, strict=True)]
+                where = np.flatnonzero(np.diff(part[order], prepend=-1))
+                bodies = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(where, [*where[1:], len(row)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][where].astype(np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
+
+    return run
+
+
+def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one part's windows, those in several documents, with the least of these."""
+    bodies = [body for batch in batches for body in batch.column(1).to_pylist()]
+    width = sum(np.dtype(t).itemsize for t in _PACKED)
+    columns, at = [], 0
+    for t in _PACKED:
+        size = np.dtype(t).itemsize
+        columns.append(np.frombuffer(b"".join(x[at * (len(x) // width) : (at + size) * (len(x) // width)] for x in bodies), t))
+        at += size
+    del bodies
+    names, docs, word, start, size = columns
+    if not len(names):
+        return
+    order = np.argsort(names, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(names[order]) != 0]))
+    often = np.diff(np.append(cut, len(order)))
+    low, high = np.minimum.reduceat(docs[order], cut), np.maximum.reduceat(docs[order], cut)
+    own, rep = order[np.repeat(low < high, often)], np.repeat(low, often)[np.repeat(low < high, often)]
+    for k in range(0, len(own), 1 << 16):
+        i = own[k : k + (1 << 16)]
+        first, begin = word[i].astype(np.int64), start[i].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[i], first, first + MIN_RUN, begin, begin + size[i], names[i], docs[i] == rep[k : k + (1 << 16)])], names=["doc_id", "first", "last", "start", "stop", "cluster", "kept"])
+
 
-    return docs.mapInArrow(run, "doc_id long, seq long, start long, stop long, words long, class long")
+def shared_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, first, last, start, stop, cluster, kept): the named windows that lie in several documents."""
+    parts = 4 * shuffle_partitions(docs.sparkSession)
+    return docs.mapInArrow(_emit_windows(parts), "part int, body binary").repartition(parts, "part").mapInArrow(_shared_windows, "doc_id long, first long, last long, start long, stop long, cluster long, kept boolean")
 
 
 def _emit(parts: int):
@@ -137,12 +228,12 @@ def piece_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, n_words, n_pieces, remove, clusters) of documents (doc_id, text): runs of repeated paragraphs, as UTF-8 byte offsets."""
+    """(doc_id, start, stop, n_words, n_pieces, remove, clusters) of documents (doc_id, text): runs of repeated paragraphs (n_pieces) and windows, as UTF-8 byte offsets."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     parts = shuffle_partitions(spark)
     found = materialize(occurrences(docs))
-    classes = materialize(found.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min("words").alias("words")))
+    classes = materialize(found.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
     staged = materialize(docs.mapInArrow(_emit(parts), "part int, kind int, body binary").repartition(parts, "part").mapInArrow(_bucket, STAGED))
     # Classes of crowded buckets are joined on their rarest shingles instead, which loses none of their links.
     crowded = materialize(staged.where("kind = 2").select(F.col("b").alias("class")).distinct().join(classes.select("class", "rep"), "class"))
@@ -156,9 +247,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     linked = placed.where("component IS NOT NULL")
     across = linked.groupBy("cluster").agg(F.min("rep").alias("first_doc"), F.max("last").alias("last_doc")).where("first_doc < last_doc")
     repeated = alone.unionByName(linked.select("class", "cluster").join(across, "cluster").select("class", "cluster", F.col("first_doc").alias("rep")))
-    marked = found.join(repeated, "class").select("doc_id", "seq", "start", "stop", "words", "cluster", (F.col("doc_id") == F.col("rep")).alias("kept"))
-    marked = marked.selectExpr("*", "seq - row_number() OVER (PARTITION BY doc_id, kept ORDER BY seq, start) AS island")
-    runs = marked.groupBy("doc_id", "kept", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count("*").alias("n_pieces"), F.array_sort(F.collect_set("cluster")).alias("clusters"))
+    marked = found.join(repeated, "class").select("doc_id", "first", "last", "start", "stop", "cluster", (F.col("doc_id") == F.col("rep")).alias("kept"), F.lit(False).alias("window"))
+    marked = marked.unionByName(shared_windows(docs).withColumn("window", F.lit(True)))
+    before = Window.partitionBy("doc_id", "kept").orderBy("first", "last", "start", "cluster")
+    marked = marked.withColumn("begins", F.coalesce(F.col("first") > F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    marked = marked.withColumn("island", F.sum(F.col("begins").cast("long")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy("doc_id", "kept", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("first")).alias("n_words"), F.count_if(~F.col("window")).alias("n_pieces"), F.array_sort(F.collect_set("cluster")).alias("clusters"))
     return runs.where(F.col("n_words") >= MIN_RUN).select("doc_id", "start", "stop", "n_words", "n_pieces", (~F.col("kept")).alias("remove"), "clusters")
 
 

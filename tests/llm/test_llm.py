@@ -199,6 +199,22 @@ def test_passages_catch_all_long_repeats(spark, docs):
     assert {i for s in seen.values() if len(s) > 1 for i in s} <= got
 
 
+def test_passages_pasted_into_running_text(spark):
+    rng = np.random.default_rng(5)
+
+    def prose(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+
+    plain, short = prose(51), " ".join(prose(7) + "." for _ in range(8))
+    rows = [(2 * k + h, f"{prose(20 + 3 * k + h)} {own} {prose(30 + h)}") for k, own in enumerate((plain, short)) for h in (0, 1)] + [(9, prose(300))]
+    got = passages.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3} and {r.doc_id for r in got if r.remove} == {1, 3}
+    texts = dict(rows)
+    for r in got:
+        part = texts[r.doc_id].encode()[r.start : r.stop].decode()
+        assert len(part.split()) == r.n_words >= passages.MIN_RUN and any(part in own for own in (plain, short))
+
+
 # 5
 
 
