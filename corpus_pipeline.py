@@ -1,8 +1,9 @@
 """A corpus pipeline over `documents`: each stage is written as Parquet and read again as the next one's input.
 
 language: documents without a determined language go. near duplicates: the smallest doc_id of each group
-stays. decontaminate: documents that hold benchmark passages go. mix: a sample by raked weights stays.
-tokens: one row for each document that is left, read back from its token shards.
+stays. decontaminate: documents that hold benchmark passages go. mix: a sample by raked weights stays, in which
+documents that count more than once are repeated. tokens: one row for each document and copy that is left,
+read back from its token shards.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slim = common.materialize(mixing.described(docs).select("source", "lang", "topic", "n_tokens"))
-    return mixing.sample(mixing.described(docs), mixing.cell_weights(slim)).where("keep").select(*COLUMNS)
+    drawn = mixing.sample(mixing.described(docs), mixing.cell_weights(slim)).where("keep")
+    return drawn.withColumn("copy", F.explode(F.array_repeat(F.lit(0), mixing.copies()))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,6 +150,12 @@ def sample(docs: DataFrame, weights: DataFrame, dimensions: tuple[str, ...] = DI
     return joined.withColumn("probability", F.least(F.lit(1.0), expected)).withColumn("weight", F.greatest(F.lit(1.0), expected)).withColumn("keep", draw() < F.col("probability")).drop("expected")
 
 
+def copies() -> Column:
+    """How often a drawn document of `sample` is to be written: `weight`, rounded up or down by its draw so that it is met on average."""
+    whole = F.floor("weight")
+    return (whole + (draw() < F.col("weight") - whole).cast("long")).cast("int")
+
+
 def described(docs: DataFrame) -> DataFrame:
     """documents with n_tokens and topic."""
     return docs.withColumn("n_tokens", token_count(F.col("text"))).withColumn("topic", topic_of(F.col("text"), F.col("n_tokens")))

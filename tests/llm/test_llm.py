@@ -386,6 +386,15 @@ def test_mixing_odd_rows(odd, empty):
     assert mixing.sample(nothing, mixing.cell_weights(nothing)).isEmpty()
 
 
+def test_mixed_sources_meet_their_targets(spark):
+    import corpus_pipeline as cp
+
+    rows = [(k, "seven words make up this short text", "en", "rare" if k % 50 == 0 else "hot", 35) for k in range(4000)]
+    got = [r.source for r in cp.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()]
+    target = mixing.target_shares({"rare": 80.0, "hot": 3920.0}, None)["rare"]
+    assert mixing.RATE * target * 4000 > 80 and abs(got.count("rare") / len(got) - target) < 0.008
+
+
 # 9
 
 
