@@ -19,8 +19,8 @@ pairs. Larger, hot ones matter only for classes whose agreeing blocks may all be
 classes); any other class meets each of its links in a small bucket. Bound classes are joined among
 themselves on their rarest shingles: two linked sets share one of the n - ceil(0.8 n) + 1 that fewest
 bound classes hold, and what is rarer there bounds what they can have in common. Of what is still hot
-(groups of thousands of near copies), pairs with the most typical class come first; when they are
-verified and joined to components, only pairs of different components remain.
+(groups of thousands of near copies), the query verifies all pairs, as it counts the links. Where only components are
+asked for, pairs with the most typical class come first, and then only pairs of different components remain.
 
 Verification counts common hashes exactly. Nothing is capped or dropped.
 
@@ -244,13 +244,19 @@ def verified(pairs: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame]
 CAN_LINK = "9 * (1 + least(l.n - l.rank, r.n - r.rank)) >= 4 * (l.n + r.n) AND 5 * least(l.n, r.n) >= 4 * greatest(l.n, r.n)"
 
 
-def link_buckets(small: DataFrame, hot: DataFrame, verify: Callable[[DataFrame], DataFrame], can_link: str = "true") -> tuple[DataFrame, DataFrame]:
+def link_buckets(small: DataFrame, hot: DataFrame, verify: Callable[[DataFrame], DataFrame], can_link: str = "true", every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and components (id, component) from the pairs of small buckets and the members (key, class, n, rank) of hot ones.
 
+    every: all links, at a cost of the square of a group of near copies; otherwise only as many as the components need.
     The first member of a bucket is the one with the least share of shingles rarer than the key, so the most typical one."""
     first = hot.groupBy("key").agg(F.min(F.struct((F.col("rank") / F.col("n")).alias("share"), "class", "n", "rank")).alias("f")).select("key", "f.class", "f.n", "f.rank")
     stars = hot.alias("l").join(first.alias("r"), F.expr(f"l.key = r.key AND l.class <> r.class AND {can_link}"))
     links = verify(small.unionByName(stars.selectExpr("least(l.class, r.class) AS a", "greatest(l.class, r.class) AS b")).distinct())
+    if every:
+        pairs = hot.alias("l").join(hot.alias("r"), F.expr(f"l.key = r.key AND l.class < r.class AND {can_link}"))
+        rest = pairs.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
+        links = materialize(links.unionByName(verify(rest)).distinct())
+        return links, components(links)
     groups = materialize(components(links))
     # Of hot buckets, what still lies in several components; of buckets with the same classes, one.
     left = materialize(hot.join(groups.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")))
@@ -278,10 +284,10 @@ def rare_buckets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     return pairs, kept.where(F.col("size") > SMALL).select("key", "class", "n", "rank")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, n_shingles, class, component_id, n_verified_links) of documents (doc_id, text).
 
-    n_verified_links counts the verified links that the components were built from, of the document's class."""
+    n_verified_links counts the classes that the document's class links with: all of them if `every`, else those that the components were built from."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     parts = shuffle_partitions(spark)
@@ -294,7 +300,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     bound = materialize(bound.join(classes.select("class", "rep"), "class"))
     close, hot = rare_buckets(document_sets(docs, bound).join(bound, ["class", "rep"], "left_semi").dropDuplicates(["class"]))
     small = staged.where("kind = 1").select("a", "b").unionByName(close)
-    links, groups = link_buckets(small, materialize(hot), lambda pairs: verified(pairs, classes, lambda wanted: document_sets(docs, wanted)), CAN_LINK)
+    links, groups = link_buckets(small, materialize(hot), lambda pairs: verified(pairs, classes, lambda wanted: document_sets(docs, wanted)), CAN_LINK, every)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_verified_links"))
     placed = members.join(groups.select(F.col("id").alias("class"), "component"), "class", "left").join(degree, "class", "left")
     placed = placed.withColumn("component", F.coalesce("component", "class"))
@@ -303,4 +309,4 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_verified_links")
+    return link_documents(table(spark, sf_dir, "documents"), every=True).select("doc_id", "n_shingles", "component_id", "n_verified_links")

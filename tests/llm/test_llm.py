@@ -264,6 +264,22 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, small):
     assert got == brute_components(rows)
 
 
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(100)]
+    rows = []
+    for k in range(40):
+        own = list(base)
+        for at in rng.integers(4, 96, 1):
+            own[at] = f"e{k}_{at}"
+        rows.append((k, " ".join(own)))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(96)} for k, t in rows}
+    want = {k: sum(100 * len(sets[k] & s) >= 80 * len(sets[k] | s) for j, s in sets.items() if j != k) for k in sets}
+    got = jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()
+    assert any(want.values()) and {r.doc_id: r.n_verified_links for r in got} == want
+
+
 def test_jaccard_signatures_lose_no_link():
     """Any two sets with a similarity of 0.8 share a key in some band, or are both bound."""
     rng = np.random.default_rng(1)
