@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes 0x20 and 0x09-0x0D separate words; every other byte belongs to a word.
@@ -22,17 +23,30 @@ _TABLE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: dict[str, np.ndarray] = {}
-SLICE_BYTES = 1 << 20
+#: Bytes of text that a kernel works on at a time (a longer text is taken whole): its arrays take some forty times as much.
+SLICE_BYTES = 1 << 18
+#: Arrow batches, which JVM and Python hold at once: texts may be long.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts_of(df: DataFrame, *columns: Column) -> DataFrame:
+    """The columns that a Python kernel reads, in Arrow batches of bounded size unless the session sets its own."""
+    for key, value in BATCH_LIMITS.items():
+        if df.sparkSession.conf.get(key, None) is None:
+            df.sparkSession.conf.set(key, value)
+    return df.select(*columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; that is set here only where it is unset."""
+    """A new path below spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary folder is set, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sediment-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sediment-{uuid.uuid4().hex}"
@@ -42,7 +56,17 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it again, so that lineage ends there and no step runs twice."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -157,7 +181,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Returns (id, component): each id of an edge with the smallest id it reaches. Edges with nulls
     are ignored, repeated ones and loops do no harm; without edges the result is empty.
-    Each round is written to the shared folder, so lineage stays short.
+    Each round is written to the shared folder, so lineage stays short; the round before it is deleted.
     """
     e = materialize(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     sign = None
@@ -167,7 +191,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == sign:
             break

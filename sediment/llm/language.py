@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_buffers
+from .common import slices, table, text_buffers, texts_of
 
 BITS = 16
 #: The model holds 2**BITS counts for each language, at most this many languages: a bound of 512 MB, 2 MB for four.
@@ -77,7 +77,7 @@ def train(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["name", "chunk", "counts"])
 
     schema = "name string, chunk int, counts binary"
-    known = docs.where(F.col(label).isNotNull()).select(F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label"))
+    known = texts_of(docs.where(F.col(label).isNotNull()), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label"))
     rows = known.mapInArrow(count, schema).repartition(16, "name", "chunk").mapInArrow(total, schema).collect()
     names = sorted({r.name for r in rows})
     if len(names) > MAX_LANGUAGES:
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, names: list[str], log_lik: np.ndarray) -> DataFram
                     pred.append(names[chosen[0]]), score.append(float(min(1.0, max(0.0, p[chosen[0]])))), sets.append([names[c] for c in chosen])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "held_out", "lang_pred", "score", "languages"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    own = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>")
 
 

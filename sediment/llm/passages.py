@@ -2,34 +2,36 @@
 
 Paragraphs end at line ends and, as passages are also pasted into lines, at the end of a sentence once
 they have MIN_PIECE words. A paragraph's set holds its distinct 5-word shingles of lower-cased words.
-Equal paragraphs are one class. Sets of at least four shingles get BANDS keys of ROWS minimum hashes
-each (recall 1 - (1 - s^ROWS)^BANDS: 0.987 for a similarity s of 0.8, 0.9996 for 0.9); smaller sets can only
-link with equal ones. Classes that share a key are verified by counting, and clustered by components.
+Equal paragraphs are one class. Sets get BANDS keys of ROWS minimum hashes each (recall 1 - (1 - s^ROWS)^BANDS: 0.987
+for a similarity s of 0.8, 0.9996 for 0.9); paragraphs of less than four shingles can only link with equal sets, for which
+one key is enough. Classes that share a key are verified by counting, and clustered by components.
 
 As a paragraph's cuts depend on the text around a pasted passage, passages are also found by windows of MIN_RUN
 words, wherever they begin: of each NEAR windows in a row, the ones with the smallest hash are named (winnowing), so
 documents that share MIN_RUN + NEAR - 1 words in a row always share a named window. Equal windows are one cluster.
 
-A cluster that lies in several documents is repeated. Adjacent and overlapping repeated paragraphs and windows make a
-run; runs of at least MIN_RUN words are returned, and those that aren't the first of their cluster are to be removed.
-A run to keep may overlap one to be removed (a near copy that is itself copied); what is to be removed then goes.
+A cluster that occurs more than once, in one document or in several, is repeated. Adjacent and overlapping repeated
+paragraphs and windows make a run. Runs of at least MIN_RUN words are returned, split into what is the first of its
+cluster and what isn't, which is to be removed. What is kept may overlap what is removed (a near copy that is itself
+copied); what is to be removed then goes, and what lies wholly within it isn't returned as kept.
 
 Defined results: null and empty texts have no paragraphs; rows with a null doc_id are left out; repeated
-rows of one doc_id are occurrences in one document; ties go to the smaller doc_id, then to the earlier
-place; an empty table gives no rows; other columns are ignored.
+rows of one doc_id with one text are one occurrence each, of which none is removed for the other; ties go to the
+smaller doc_id, then to the earlier place; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, powers, shingle_hashes, shuffle_partitions, slices, table, text_buffers, word_hashes, word_spans
-from .jaccard import CAN_LINK, SET_SCHEMA, STAGED, _bucket, is_wanted, link_buckets, rare_buckets, set_batch, verified, wanted_filter
+from .common import discard, materialize, mix, powers, shingle_hashes, slices, table, text_buffers, texts_of, word_hashes, word_spans
+from .jaccard import BUFFER_KEYS, DEALT, PIECE_BYTES, SET_SCHEMA, STAGED, _bucket, deal, deal_keys, dealt_batch, is_wanted, link_buckets, measured, n_parts, part_of, rare_buckets, set_batch, to_parts, wanted_filter
 
 MIN_PIECE = 8
 MIN_RUN = 25
@@ -120,12 +122,35 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, first long, last long, start long, stop long, class long")
 
 
-#: Columns of a body of windows, one after the other: name, doc_id, first word, first byte, bytes.
-_PACKED = (np.int64, np.int64, np.int32, np.int32, np.int32)
+#: A window in a body: its name, doc_id, first word, first byte, bytes.
+_WINDOW_ROW = np.dtype([("name", "<i8"), ("doc", "<i8"), ("word", "<i4"), ("start", "<i4"), ("size", "<i4")])
+_FIRST_ROW = np.dtype([("name", "<i8"), ("doc", "<i8"), ("word", "<i4")])
+
+
+def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of name, doc and word; where each name begins; and how often it occurs."""
+    rows = rows[np.lexsort((rows["word"], rows["doc"], rows["name"]))]
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(rows["name"]) != 0])) if len(rows) else np.zeros(0, np.int64)
+    return rows, cut, np.diff(np.append(cut, len(rows)))
 
 
 def _emit_windows(parts: int):
+    """Rows (part, kind, body): kind 1 windows that are alone in their task so far, for their name's part; of others kind 3 the windows, dealt by document, and kind 4 the first, for their name's part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            out: list[tuple[int, int, bytes]] = []
+            rows, cut, often = _first(np.concatenate(held))
+            held.clear()
+            alone = np.repeat(often == 1, often)
+            deal(out, 1, part_of(rows["name"][alone], parts), rows[alone])
+            deal(out, 3, part_of(mix(rows["doc"][~alone].astype(np.uint64)).view(np.int64), parts), rows[~alone])
+            first = rows[cut[often > 1]][list(_FIRST_ROW.names)].astype(_FIRST_ROW)
+            deal(out, 4, part_of(first["name"].copy(), parts), first)
+            return dealt_batch(out)
+
         for batch in batches:
             raw, at = text_buffers(batch.column(1))
             ids = batch.column(0).to_numpy()
@@ -133,73 +158,105 @@ def _emit_windows(parts: int):
                 own, begin = raw[at[i] : at[j]], at[i : j + 1] - at[i]
                 starts, ends, first = word_spans(own, begin)
                 row, word, names = windows(word_hashes(own, starts, ends), first)
-                if not len(row):
-                    continue
-                part = ((names.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                columns = (names, ids[i:j][row], word - first[row], starts[word] - begin[row], ends[word + MIN_RUN - 1] - starts[word])
-                columns = [c[order].astype(t) for c, t in zip(columns, _PACKED, strict=True)]
-                where = np.flatnonzero(np.diff(part[order], prepend=-1))
-                bodies = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(where, [*where[1:], len(row)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[order][where].astype(np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
+                if len(row):
+                    rows = np.empty(len(row), _WINDOW_ROW)
+                    rows["name"], rows["doc"], rows["word"], rows["start"], rows["size"] = names, ids[i:j][row], word - first[row], starts[word] - begin[row], ends[word + MIN_RUN - 1] - starts[word]
+                    held.append(rows)
+                    if sum(map(len, held)) >= BUFFER_KEYS // 2:
+                        yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
+def _shared_part(pieces: Iterator[dict[int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    """One part, piece by piece: kind 1 for windows that occur again, kind 0 for the first of each such name. Between pieces it keeps a row for each name."""
+
+    def out(kind: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 1 << 16):
+            x = rows[at : at + (1 << 16)]
+            word = x["word"].astype(np.int64)
+            start = x["start"].astype(np.int64) if kind else word
+            size = x["size"].astype(np.int64) if kind else word
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in (x["doc"], word, word + MIN_RUN, start, start + size, x["name"]))], names=["kind", "doc_id", "first", "last", "start", "stop", "cluster"])
+
+    alone, firsts = np.zeros(0, _WINDOW_ROW), np.zeros(0, _FIRST_ROW)
+    for bodies in pieces:
+        yield from out(1, np.frombuffer(b"".join(bodies[3]), _WINDOW_ROW))
+        rows, cut, often = _first(np.concatenate([alone, np.frombuffer(b"".join(bodies[1]), _WINDOW_ROW)]))
+        marks = np.concatenate([firsts, np.frombuffer(b"".join(bodies[4]), _FIRST_ROW)])
+        shared = (often > 1) | np.isin(rows["name"][cut], marks["name"])
+        marks = np.concatenate([marks, rows[cut[shared]][list(_FIRST_ROW.names)].astype(_FIRST_ROW)])
+        marks, cut, _ = _first(marks)
+        firsts = marks[cut]
+        shared = np.repeat(shared, often)
+        yield from out(1, rows[shared])
+        alone = rows[~shared]
+    yield from out(0, firsts)
+
+
 def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one part's windows, those in several documents, with the least of these."""
-    bodies = [body for batch in batches for body in batch.column(1).to_pylist()]
-    width = sum(np.dtype(t).itemsize for t in _PACKED)
-    columns, at = [], 0
-    for t in _PACKED:
-        size = np.dtype(t).itemsize
-        columns.append(np.frombuffer(b"".join(x[at * (len(x) // width) : (at + size) * (len(x) // width)] for x in bodies), t))
-        at += size
-    del bodies
-    names, docs, word, start, size = columns
-    if not len(names):
-        return
-    order = np.argsort(names, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(names[order]) != 0]))
-    often = np.diff(np.append(cut, len(order)))
-    low, high = np.minimum.reduceat(docs[order], cut), np.maximum.reduceat(docs[order], cut)
-    own, rep = order[np.repeat(low < high, often)], np.repeat(low, often)[np.repeat(low < high, often)]
-    for k in range(0, len(own), 1 << 16):
-        i = own[k : k + (1 << 16)]
-        first, begin = word[i].astype(np.int64), start[i].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[i], first, first + MIN_RUN, begin, begin + size[i], names[i], docs[i] == rep[k : k + (1 << 16)])], names=["doc_id", "first", "last", "start", "stop", "cluster", "kept"])
-
-
-def shared_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, start, stop, cluster, kept): the named windows that lie in several documents."""
-    parts = 4 * shuffle_partitions(docs.sparkSession)
-    return docs.mapInArrow(_emit_windows(parts), "part int, body binary").repartition(parts, "part").mapInArrow(_shared_windows, "doc_id long, first long, last long, start long, stop long, cluster long, kept boolean")
+    def pieces() -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+        part, size, bodies = None, 0, {k: [] for k in (1, 3, 4)}
+        for batch in batches:
+            for p, kind, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size and (p != part or size >= PIECE_BYTES):
+                    yield part, bodies
+                    size, bodies = 0, {k: [] for k in (1, 3, 4)}
+                part = p
+                bodies[kind].append(body)
+                size += len(body)
+        if size:
+            yield part, bodies
+
+    for _, own in groupby(pieces(), lambda x: x[0]):
+        yield from _shared_part(bodies for _, bodies in own)
+
+
+def shared_windows(docs: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, first, last, start, stop, cluster, kept): the named windows that occur more than once; kept: the first of its cluster."""
+    dealt = docs.mapInArrow(_emit_windows(parts), DEALT)
+    found = materialize(to_parts(dealt).mapInArrow(_shared_windows, "kind int, doc_id long, first long, last long, start long, stop long, cluster long"))
+    firsts = found.where("kind = 0").select("cluster", F.col("doc_id").alias("first_doc"), F.col("first").alias("first_word"))
+    return found.where("kind = 1").join(firsts, "cluster").select("doc_id", "first", "last", "start", "stop", "cluster", F.expr("doc_id = first_doc AND first = first_word").alias("kept"))
 
 
 def _emit(parts: int):
+    """Rows (part, kind, body) of the keys of all paragraphs, for `_bucket`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            out: list[tuple[int, int, bytes]] = []
+            rows = np.stack([np.concatenate(keys).view(np.int64), np.concatenate(owners)], 1)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+            deal_keys(out, rows[new, 0].copy(), rows[new, 1].copy(), parts)
+            keys.clear(), owners.clear()
+            return dealt_batch(out)
+
         for _, _, (row, _, _, cut, words) in _batches(batches):
             if not len(row):
                 continue
             names = piece_names(words, cut)
             shingles, at = shingle_hashes(words, cut)
             _, once = np.unique(names, return_index=True)
-            own = once[np.diff(at)[once] >= 4]
-            if not len(own):
-                continue
-            keys = []
             for band in range(BANDS):
+                # Sets of fewer shingles link with equal ones only; sequences shorter than a shingle have no other like them.
+                own = once[(np.diff(at)[once] >= 4) | ((np.diff(cut)[once] >= 5) & (band == 0))]
                 key = np.full(len(own), np.uint64(band + 1), np.uint64)
                 for k in range(band * ROWS, (band + 1) * ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(mix(shingles * _SEEDS[k]), at[:-1])[own])
                 keys.append(key)
-            key, owner = np.concatenate(keys).view(np.int64), np.tile(names[own], BANDS)
-            part = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            rows = np.stack([key, owner], 1)[order]
-            where = np.flatnonzero(np.diff(part[order], prepend=-1))
-            bodies = [rows[a:b].tobytes() for a, b in zip(where, [*where[1:], len(rows)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[order][where].astype(np.int32)), pa.array(np.ones(len(where), np.int32)), pa.array(bodies, pa.binary())], names=["part", "kind", "body"])
+                owners.append(names[own])
+                held += len(own)
+            if held >= BUFFER_KEYS:
+                yield flush()
+                held = 0
+        if held:
+            yield flush()
 
     return run
 
@@ -216,7 +273,7 @@ def piece_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             names = piece_names(words, cut)
             shingles, at = shingle_hashes(words, cut)
             out, seen = [], set()
-            for k in np.flatnonzero(np.diff(at) >= 4).tolist():
+            for k in np.flatnonzero(np.diff(cut) >= 5).tolist():
                 name, doc = int(names[k]), int(ids[row[k]])
                 if (name, doc) not in seen and is_wanted(bloom, name, doc):
                     seen.add((name, doc))
@@ -227,33 +284,50 @@ def piece_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SET_SCHEMA)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, n_words, n_pieces, remove, clusters) of documents (doc_id, text): runs of repeated paragraphs (n_pieces) and windows, as UTF-8 byte offsets."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    parts = shuffle_partitions(spark)
-    found = materialize(occurrences(docs))
-    classes = materialize(found.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
-    staged = materialize(docs.mapInArrow(_emit(parts), "part int, kind int, body binary").repartition(parts, "part").mapInArrow(_bucket, STAGED))
+def paragraph_clusters(docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """(class, cluster, rep) of the classes in `found` (occurrences) whose cluster occurs more than once; rep: the least document that holds it."""
+    classes = materialize(found.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    staged = materialize(to_parts(docs.mapInArrow(_emit(parts), DEALT)).mapInArrow(_bucket, STAGED))
     # Classes of crowded buckets are joined on their rarest shingles instead, which loses none of their links.
     crowded = materialize(staged.where("kind = 2").select(F.col("b").alias("class")).distinct().join(classes.select("class", "rep"), "class"))
     close, hot = rare_buckets(piece_sets(docs, crowded).join(crowded, ["class", "rep"], "left_semi").dropDuplicates(["class"]))
     small = staged.where("kind = 1").select("a", "b").unionByName(close)
-    # Shingles of a paragraph may repeat; so its size for the first test is what it can be at most, and verification counts.
+    # Shingles of a paragraph may repeat; so its size isn't known yet, and verification counts.
     known = classes.select("class", "rep", F.lit(1).alias("n_shingles"))
-    _, groups = link_buckets(small, materialize(hot), lambda pairs: verified(pairs, known, lambda wanted: piece_sets(docs, wanted)), CAN_LINK)
-    placed = classes.join(groups.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("cluster", F.coalesce("component", "class"))
-    alone = placed.where("component IS NULL AND rep < last").select("class", "cluster", "rep")
-    linked = placed.where("component IS NOT NULL")
-    across = linked.groupBy("cluster").agg(F.min("rep").alias("first_doc"), F.max("last").alias("last_doc")).where("first_doc < last_doc")
-    repeated = alone.unionByName(linked.select("class", "cluster").join(across, "cluster").select("class", "cluster", F.col("first_doc").alias("rep")))
-    marked = found.join(repeated, "class").select("doc_id", "first", "last", "start", "stop", "cluster", (F.col("doc_id") == F.col("rep")).alias("kept"), F.lit(False).alias("window"))
-    marked = marked.unionByName(shared_windows(docs).withColumn("window", F.lit(True)))
-    before = Window.partitionBy("doc_id", "kept").orderBy("first", "last", "start", "cluster")
-    marked = marked.withColumn("begins", F.coalesce(F.col("first") > F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
-    marked = marked.withColumn("island", F.sum(F.col("begins").cast("long")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.groupBy("doc_id", "kept", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("first")).alias("n_words"), F.count_if(~F.col("window")).alias("n_pieces"), F.array_sort(F.collect_set("cluster")).alias("clusters"))
-    return runs.where(F.col("n_words") >= MIN_RUN).select("doc_id", "start", "stop", "n_words", "n_pieces", (~F.col("kept")).alias("remove"), "clusters")
+    _, groups = link_buckets(small, materialize(hot), lambda pairs: measured(pairs, known, lambda wanted: piece_sets(docs, wanted)))
+    placed = materialize(classes.join(groups.select(F.col("id").alias("class"), "component"), "class", "left"))
+    alone = placed.where("component IS NULL AND n > 1").select("class", F.col("class").alias("cluster"), "rep")
+    linked = placed.where("component IS NOT NULL").select("class", F.col("component").alias("cluster"), F.col("rep").alias("own"))
+    least = materialize(linked.groupBy("cluster").agg(F.min("own").alias("rep")))
+    out = materialize(alone.unionByName(linked.join(least, "cluster").select("class", "cluster", "rep")))
+    discard(staged, placed)
+    return out
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, n_words, n_pieces, remove, clusters) of documents (doc_id, text): runs of repeated paragraphs (n_pieces) and windows, as UTF-8 byte offsets."""
+    docs = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    parts = n_parts(docs)
+    found = materialize(occurrences(docs))
+    marked = found.join(paragraph_clusters(docs, found, parts), "class")
+    first = F.min("first").over(Window.partitionBy("doc_id", "cluster"))
+    marked = marked.select("doc_id", "first", "last", "start", "stop", "cluster", ((F.col("doc_id") == F.col("rep")) & (F.col("first") == first)).alias("kept"), F.lit(False).alias("window"))
+    marked = marked.unionByName(shared_windows(docs, parts).withColumn("window", F.lit(True)))
+
+    def islands(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy("first", "last", "start", "cluster")
+        begins = F.coalesce(F.col("first") > F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        return rows.withColumn("begins", begins.cast("long")).withColumn(name, F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+
+    whole = Window.partitionBy("doc_id", "run")
+    marked = islands(marked, "run", "doc_id").withColumn("words", F.max("last").over(whole) - F.min("first").over(whole)).where(F.col("words") >= MIN_RUN)
+    runs = islands(marked, "island", "doc_id", "run", "kept").groupBy("doc_id", "run", "kept", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("first")).alias("n_words"), F.count_if(~F.col("window")).alias("n_pieces"), F.array_sort(F.collect_set("cluster")).alias("clusters")
+    )
+    # What is the first of its cluster, but lies within what is to be removed, isn't kept.
+    so_far = Window.partitionBy("doc_id", "run").orderBy("start", "kept").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("gone", F.max(F.when(~F.col("kept"), F.col("stop"))).over(so_far)).where("NOT kept OR gone IS NULL OR gone < stop")
+    return runs.select("doc_id", "start", "stop", "n_words", "n_pieces", (~F.col("kept")).alias("remove"), "clusters")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

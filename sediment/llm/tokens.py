@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from .common import materialize, shuffle_partitions, table, texts_of
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
@@ -224,7 +224,7 @@ def _pack(shard: int, block: int, ids: list, bodies: list[bytes], base: int) ->
 
 def encode_shards(docs: DataFrame, path: str, by_word: bool = True, base: int = 49_408) -> DataFrame:
     """The shards of documents (doc_id, text), written to files in the shared folder and read again. base: ids in the vocabulary."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

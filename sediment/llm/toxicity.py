@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, table, text_buffers, word_hashes, word_spans
+from .common import mix, slices, table, text_buffers, texts_of, word_hashes, word_spans
 from .language import remainder
 
 #: Documents of the training sample; all counts are over all documents.
@@ -192,7 +192,7 @@ def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(rows: DataFrame) -> dict | None:
     """The model from labelled rows (doc_id, text, label); None unless both labels occur."""
-    rows = rows.where("label IN (0, 1)").select("doc_id", F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
+    rows = texts_of(rows.where("label IN (0, 1)"), F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
     totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(totals) < 2:
         return None
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             items = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), items], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    own = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start: long, end: long>>")
 
 
