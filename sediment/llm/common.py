@@ -135,13 +135,13 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WO
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words with A-Z lower-cased; equal words have equal hashes wherever they stand."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the words, with A-Z lower-cased if `lower`; equal words have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[LOWER[raw]] * up[: len(raw)], out=total[1:])
+    np.cumsum(_TABLE[LOWER[raw] if lower else raw] * up[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
 
 

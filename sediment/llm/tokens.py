@@ -15,6 +15,9 @@ sequence of blocks, each a row of a Parquet file:
 No rule crosses the end of a document, so a document is decoded from its own symbols and the rules
 alone, and `lengths` finds the symbol that covers any token position.
 
+Re-Pair goes on until no pair of a block occurs LEAST times: a rule takes 12 bytes, and replacing a pair saves
+4 at each occurrence, so that at three occurrences it no longer pays.
+
 Defined results: a null or empty text is its end id only; ids are kept as they are, repeated rows stay;
 an empty table gives no shards and no rows; other columns are ignored.
 """
@@ -22,6 +25,7 @@ an empty table gives no shards and no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,14 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table, texts_of
+from .common import materialize, mix, shuffle_partitions, slices, table, text_buffers, texts_of, word_hashes, word_spans
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-ROUNDS = 6
-CACHE_WORDS = 800_000
+LEAST = 4
+CACHE_PIECES = 1 << 20
 WORD_END = "</w>"
-MARKS = ".,!?;:"
+#: Marks of which a run is one piece (an apostrophe, or what a special token is made of, may not be).
+MARKS = b".,!?;:*#$%&()[]{}/=+-_~@^"
+#: Letters whose lower case is one letter that no normalisation takes apart: runs of them are one piece.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+")
+BLANKS = np.ones(256, bool)
+BLANKS[[0x20, 0x09, 0x0A, 0x0D]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(MARKS)] = True
 
 _STATE: dict[str, tuple] = {}
 
@@ -45,21 +58,26 @@ _STATE: dict[str, tuple] = {}
 class WordEncoder:
     """Encodes whole texts with a tokenizers file, word by word: ids of a word don't depend on what stands beyond white space.
 
-    In such a file a run of letters is one piece, so a word of letters and a mark behind it are encoded apart, and
+    In such a file a run of letters is one piece, so a word of Latin-1 letters and the marks behind it are encoded apart, and
     each piece's last token ends with WORD_END. A tokenizer for which that doesn't hold (one that keeps white space)
-    must be used with by_word=False. The cache of words is bounded; it only saves time."""
+    must be used with by_word=False. Pieces are known by 64-bit hashes; their cache is bounded, and only saves time."""
 
     def __init__(self, path: str, by_word: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.cache: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: sorted hashes, and where the ids of each begin in `pool`, which begins with the end id."""
+        self.keys, self.begin, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([END_ID], np.uint32)
 
-    def _by_offsets(self, words: list[str]) -> None:
+    def _by_offsets(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
         for at in range(0, len(words), 5_000):
             part = words[at : at + 5_000]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -68,48 +86,75 @@ class WordEncoder:
             ids = np.array(found.ids, np.uint32)
             cut = np.searchsorted(starts, np.append(begins, 1 << 60))
             for w, a, b in zip(part, cut[:-1], cut[1:], strict=True):
-                self.cache[w] = ids[a:b].tobytes()
+                out[w] = ids[a:b].tobytes()
+        return out
 
-    def _learn(self, words: list[str]) -> None:
-        letters, marked, other, cache = set(), [], [], self.cache
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
+        letters, other, out = [], [], {}
         for w in words:
-            if w.isalpha():
-                letters.add(w)
-            elif w[-1] in MARKS and w[:-1].isalpha():
-                marked.append(w)
-                if w[:-1] not in cache:
-                    letters.add(w[:-1])
-            else:
-                other.append(w)
-        runs = sorted(letters)
-        parts = [runs[at : at + 500] for at in range(0, len(runs), 500)]
+            (letters if LETTERS.fullmatch(w) else other).append(w)
+        parts = [letters[at : at + 500] for at in range(0, len(letters), 500)]
         for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
             cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cut) != len(part):  # lower-casing may make two pieces of a letter
+            if len(cut) != len(part):  # not one piece each
                 other += part
                 continue
             raw, a = ids.tobytes(), 0
             for w, b in zip(part, cut, strict=True):
-                cache[w] = raw[a:b]
+                out[w] = raw[a:b]
                 a = b
-        self._by_offsets(other + [m for m in MARKS if m not in cache])
-        for w in marked:
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, then END_ID, as little-endian unsigned 32-bit integers."""
-        end = np.uint32(END_ID).tobytes()
+        return out | self._by_offsets(other)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """hashes: sorted."""
+        if len(self.keys) > CACHE_PIECES:
+            self.forget()
+        found = self._ids(words)
+        bodies = [found[w] for w in words]
+        size = np.array([len(b) >> 2 for b in bodies], np.int64)
+        begin = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(bodies), np.uint32)])
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.begin, self.size = np.insert(self.keys, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+
+    def _pieces(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all pieces, and each row's first one (one more entry ends the last)."""
+        starts, ends, first = word_spans(raw, at, BLANKS)
+        if not len(starts):
+            return starts, ends, first
+        letter = _LETTER[raw] | (raw == 0xC3)
+        letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        place = np.arange(len(raw))
+        tail = np.maximum.accumulate(np.where(_MARK[raw], 0, place + 1))[ends - 1]  # where the marks at the end begin
+        others = np.concatenate([[0], np.cumsum(~letter)])
+        two = np.flatnonzero((tail > starts) & (tail < ends) & (others[np.minimum(tail, len(raw))] == others[starts]))
+        first = first + np.searchsorted(two, first)
+        return np.insert(starts, two + 1, tail[two]), np.insert(ends, two, tail[two]), first
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), each with END_ID behind, and how many each has."""
         if not self.by_word:
-            return [np.array(e.ids, np.uint32).tobytes() + end for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        cache = self.cache
-        new = set().union(*split).difference(cache) if split else set()
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(cache.__getitem__, words)) + end for words in split]
+            bodies = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.array([i for b in bodies for i in b], np.uint32), np.array([len(b) for b in bodies], np.int64)
+        raw, at = text_buffers(column)
+        out, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i, j in slices(at):
+            own, begin = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+            starts, ends, first = self._pieces(own, begin)
+            hashes, where, which = np.unique(mix(word_hashes(own, starts, ends, False) + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
+            if len(self.keys) > CACHE_PIECES:
+                self.forget()
+            new = np.flatnonzero(~np.isin(hashes, self.keys, assume_unique=True)) if len(self.keys) < len(hashes) else np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] != hashes)
+            if len(new):
+                text = own.tobytes()
+                self._learn(hashes[new], [text[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            known = np.searchsorted(self.keys, hashes)[which]
+            take, size = np.insert(self.begin[known], first[1:], 0), np.insert(self.size[known], first[1:], 1)  # the end id behind each text
+            until = np.cumsum(size)
+            out.append(self.pool[np.repeat(take - until + size, size) + np.arange(until[-1])])
+            n.append(np.diff(until[first[1:] + np.arange(j - i)], prepend=0))
+        return np.concatenate(out), np.concatenate(n)
 
 
 def encoder(path: str, by_word: bool = True) -> WordEncoder:
@@ -118,77 +163,102 @@ def encoder(path: str, by_word: bool = True) -> WordEncoder:
     return _STATE["encoder"]
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, symbols of each document) of documents that end before the positions `ends`.
-
-    Each round counts all adjacent pairs within documents, makes every frequent one a nonterminal, and replaces
-    occurrences that are more frequent than those they overlap. Frequent: as often as one in 4096 symbols, and 8 times."""
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)
-    last[ends - 1] = True
+def _next_in_run(at: np.ndarray, key: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of pairs (by position `at`), whether each is an even one in a run of one pair that overlaps itself."""
+    run = np.zeros(len(at), bool)
+    run[1:] = (at[1:] == after[at[:-1]]) & (key[1:] == key[:-1])
+    begin = np.maximum.accumulate(np.where(run, 0, np.arange(len(at))))
+    return (np.arange(len(at)) - begin) % 2 == 0
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, symbols of each document) of documents that end before the positions `ends`, until no pair within one occurs `least` times.
+
+    Each round ranks all pairs that occur so often by their count, and replaces each occurrence that outranks both pairs that
+    overlap it, where a pair keeps `least` such occurrences; so the most frequent pair is replaced everywhere. Counts of old
+    pairs never grow, so after the first round only pairs that were frequent and those beside new symbols are looked at."""
+    n = len(ids)
+    seq = np.append(ids.astype(np.int64), 0)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # the symbol behind and before, n and -1: none
+    after[ends - 1] = n
+    before[ends[ends < n]] = -1
+    alive, look = np.ones(n, bool), np.zeros(n, bool)
+    key = (seq[:-1] << 32) | seq[np.minimum(after[:n], n)]
+    at = np.flatnonzero(after[:n] < n)
+    bins = ((key[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    at = at[np.bincount(bins, minlength=1 << 20)[bins] >= least]
+    rank = np.zeros(n + 1, np.int64)  # of the pair that begins at a position; 0: none that counts
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        least = max(8, len(seq) >> 12)
-        key = (seq[:-1] << 32) | seq[1:]
-        bins = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)  # 2^18
-        count = np.bincount(bins[~last[:-1]], minlength=1 << 18)
-        at = np.flatnonzero((count[bins] >= least) & ~last[:-1])
-        pairs, which, often = np.unique(key[at], return_inverse=True, return_counts=True)
-        good = often >= least
-        if not good.any():
-            break
-        # Priority: the count, then the pair itself; 0 where no frequent pair begins.
-        rank = np.zeros(len(pairs), np.int64)
-        rank[np.lexsort((pairs, often))] = np.arange(1, len(pairs) + 1)
-        rank[~good] = 0
-        prio = np.zeros(len(seq) + 1, np.int64)  # that of the pair at i is at i + 1, between zeros
-        prio[at + 1] = rank[which]
-        # Runs of one priority are one pair that overlaps itself: every other occurrence of a run above its neighbours.
-        begin = np.flatnonzero(np.diff(prio)) + 1
-        own = prio[begin]
-        top = (own > prio[begin - 1]) & (own > np.append(own[1:], 0))
-        stop = np.append(begin[1:], len(prio))[top]
-        size = (stop - begin[top] + 1) // 2
-        take = np.repeat(begin[top] - 1, size) + 2 * (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-        if not len(take):
+    while len(at):
+        own = (seq[at] << 32) | seq[after[at]]
+        even = np.ones(len(at), bool)
+        twin = np.flatnonzero(seq[at] == seq[after[at]])
+        even[twin] = _next_in_run(at[twin], own[twin], after)
+        pairs, which = np.unique(own, return_inverse=True)
+        often = np.bincount(which[even], minlength=len(pairs))
+        good = (often >= least)[which]
+        at, which, even = at[good], which[good], even[good]
+        if not len(at):
             break
-        used, symbol = np.unique(key[take], return_inverse=True)
-        rules.append(np.stack([used >> 32, used & 0xFFFFFFFF], 1))
+        place = np.empty(len(pairs), np.int64)
+        place[np.lexsort((pairs, often))] = np.arange(1, len(pairs) + 1)
+        cand, kind = at[even], which[even]
+        rank[cand] = place[kind]
+        # before[] is -1 and after[] is n where there is none: the last entry of rank, which stays 0.
+        won = (rank[cand] > rank[before[cand]]) & (rank[cand] > rank[after[cand]])
+        rank[cand] = 0
+        won &= (np.bincount(kind[won], minlength=len(pairs)) >= least)[kind]
+        take, kind = cand[won], kind[won]
+        used, symbol = np.unique(kind, return_inverse=True)
+        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
+        right = after[take]
         seq[take] = base + n_rules + symbol
         n_rules += len(used)
-        last[take] = last[take + 1]
-        keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
-        seq, last = seq[keep], last[keep]
-    done = np.flatnonzero(last) + 1
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.diff(done, prepend=0)
+        alive[right] = False
+        behind = after[right]
+        after[take] = behind
+        before[behind[behind < n]] = take[behind < n]
+        beside = before[take]
+        look[at] = look[take] = look[beside[beside >= 0]] = True
+        at = np.flatnonzero(look & alive & (after[:n] < n)) if len(at) > n >> 6 else np.unique(np.concatenate([at, take, beside[beside >= 0]]))
+        look[:] = False
+        at = at[alive[at] & (after[at] < n)]
+    last = np.zeros(n, bool)
+    last[np.flatnonzero(alive & (after[:n] == n))] = True
+    symbols = seq[:n][alive]
+    done = np.flatnonzero(last[alive]) + 1
+    return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.diff(done, prepend=0)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many token ids each nonterminal expands to; a rule only uses earlier ones."""
-    out = np.ones(base + len(rules), np.int64) if base + len(rules) < 1 << 22 else None
-    if out is None:
-        raise ValueError("ids are too large")
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[base + k] = out[a] + out[b]
-    return out[base:]
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The token ids of a symbol sequence."""
-    seq = symbols.astype(np.int64)
-    while len(rules) and len(seq) and (more := seq >= base).any():
-        size = 1 + more
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at[~more]] = seq[~more]
-        own = rules[seq[more] - base]
-        out[at[more]], out[at[more] + 1] = own[:, 0], own[:, 1]
-        seq = out
-    return seq.astype(np.uint32)
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((1 if a < base else out[a - base]) + (1 if b < base else out[b - base]))
+    return np.array(out, np.int64)
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The token ids of a symbol sequence. Each symbol's place follows from the lengths, so each rule is applied once where it stands."""
+    lengths = rule_lengths(rules, base) if lengths is None else lengths.astype(np.int64)
+    todo = symbols.astype(np.int64)
+
+    def size_of(x: np.ndarray) -> np.ndarray:
+        size = np.ones(len(x), np.int64)
+        more = x >= base
+        size[more] = lengths[x[more] - base]
+        return size
+
+    size = size_of(todo)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    while len(todo):
+        more = todo >= base
+        out[at[~more]] = todo[~more]
+        own, at = rules[todo[more] - base].astype(np.int64), at[more]
+        todo, at = np.concatenate([own[:, 0], own[:, 1]]), np.concatenate([at, at + size_of(own[:, 0])])
+    return out
 
 
 def read_range(block, doc: int, start: int, stop: int) -> np.ndarray:
@@ -203,19 +273,17 @@ def read_range(block, doc: int, start: int, stop: int) -> np.ndarray:
     until = np.cumsum(size)
     a, b = int(np.searchsorted(until, start, "right")), int(np.searchsorted(until, stop, "left")) + 1
     skip = start - (int(until[a - 1]) if a else 0)
-    return expand(symbols[a:b], rules, block["base"])[skip : skip + stop - start]
+    return expand(symbols[a:b], rules, block["base"], lengths)[skip : skip + stop - start]
 
 
 BLOCK_SCHEMA = "shard int, block int, docs long, total long, doc_ids binary, null_ids binary, n_tokens binary, n_symbols binary, base int, rules binary, lengths binary, symbols binary, width int"
 
 
-def _pack(shard: int, block: int, ids: list, bodies: list[bytes], base: int) -> pa.RecordBatch:
-    n = np.array([len(b) >> 2 for b in bodies], np.uint32)
-    tokens = np.frombuffer(b"".join(bodies), np.uint32)
-    symbols, rules, per = repair(tokens, np.cumsum(n.astype(np.int64)), base)
+def _pack(shard: int, block: int, ids: list, n: np.ndarray, tokens: np.ndarray, base: int) -> pa.RecordBatch:
+    symbols, rules, per = repair(tokens, np.cumsum(n), base)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     row = (
-        shard, block, len(ids), len(tokens), np.array([i or 0 for i in ids], np.int64).tobytes(), bytes(i is None for i in ids), n.tobytes(), per.astype(np.uint32).tobytes(),
+        shard, block, len(ids), len(tokens), np.array([i or 0 for i in ids], np.int64).tobytes(), bytes(i is None for i in ids), n.astype(np.uint32).tobytes(), per.astype(np.uint32).tobytes(),
         base, rules.astype(np.uint32).tobytes(), rule_lengths(rules, base).astype(np.uint32).tobytes(), symbols.astype(f"<u{width}").tobytes(), width,
     )
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 3, pa.int32()]
@@ -230,20 +298,18 @@ def encode_shards(docs: DataFrame, path: str, by_word: bool = True, base: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, block, ids, bodies, size = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, block, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
         own = encoder(path, by_word)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(keys), 256):
-                ids += keys[at : at + 256].to_pylist()
-                for body in own.encode(texts[at : at + 256].to_pylist()):
-                    bodies.append(body)
-                    size += len(body) >> 2
+            for at in range(0, batch.num_rows, 256):
+                ids += batch.column(0).slice(at, 256).to_pylist()
+                held.append(own.encode(batch.column(1).slice(at, 256)))
+                size += len(held[-1][0])
                 if size >= BLOCK_IDS:
-                    yield _pack(shard, block, ids, bodies, base)
-                    block, ids, bodies, size = block + 1, [], [], 0
+                    yield _pack(shard, block, ids, np.concatenate([n for _, n in held]), np.concatenate([x for x, _ in held]), base)
+                    block, ids, held, size = block + 1, [], [], 0
         if ids:
-            yield _pack(shard, block, ids, bodies, base)
+            yield _pack(shard, block, ids, np.concatenate([n for _, n in held]), np.concatenate([x for x, _ in held]), base)
 
     # Copies of an id have one place in the order of all: by text.
     ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -264,7 +330,7 @@ def document_ids(shards: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 start = before[row["shard"]] + row["inside"]
                 rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2).astype(np.int64)
-                ids = expand(np.frombuffer(row["symbols"], f"<u{row['width']}"), rules, row["base"])
+                ids = expand(np.frombuffer(row["symbols"], f"<u{row['width']}"), rules, row["base"], np.frombuffer(row["lengths"], np.uint32))
                 n = np.frombuffer(row["n_tokens"], np.uint32).astype(np.int64)
                 ends = np.cumsum(n)
                 raw = memoryview(ids.astype("<u4").tobytes())
@@ -272,7 +338,7 @@ def document_ids(shards: DataFrame) -> DataFrame:
                 keys = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["null_ids"], np.uint8).astype(bool))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start + ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = shards.select("shard", "block", "doc_ids", "null_ids", "n_tokens", "base", "rules", "symbols", "width").join(places, ["shard", "block"])
+    placed = shards.select("shard", "block", "doc_ids", "null_ids", "n_tokens", "base", "rules", "lengths", "symbols", "width").join(places, ["shard", "block"])
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

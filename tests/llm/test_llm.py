@@ -405,7 +405,43 @@ def test_repair_round_trip():
         assert all(len(tokens.expand(np.array([kinds + k]), rules, kinds)) == x for k, x in enumerate(lengths))
         at = np.cumsum(per)
         assert [len(tokens.expand(symbols[a - p : a], rules, kinds)) for a, p in zip(at, per, strict=True)] == np.diff(ends, prepend=0).tolist()
-    assert len(tokens.repair(np.zeros(5000, np.uint32), np.array([5000]), 1)[0]) < 500
+    assert len(tokens.repair(np.zeros(5000, np.uint32), np.array([5000]), 1)[0]) < 20
+
+
+@pytest.mark.parametrize("least", [2, tokens.LEAST])
+def test_repair_goes_on_to_the_end(least):
+    """No pair within a document occurs `least` times (without overlaps) in the end, and the first rule is the most frequent pair."""
+    rng = np.random.default_rng(least)
+    passage = rng.integers(0, 1000, 60)
+    ids = np.concatenate([x for _ in range(40) for x in (rng.zipf(1.3, 50) % 50, passage, np.full(rng.integers(0, 9), 7))]).astype(np.uint32)
+    ends = np.unique(np.append(rng.integers(1, len(ids) + 1, 12), len(ids)))
+    symbols, rules, per = tokens.repair(ids, ends, 1000, least)
+    assert (tokens.expand(symbols, rules, 1000) == ids).all()
+    often, at = collections.Counter(), 0
+    for p in per:
+        own, last = symbols[at : at + p].tolist(), None
+        for k, pair in enumerate(itertools.pairwise(own)):
+            if pair != last:
+                often[pair] += 1
+                last = pair if pair[0] == pair[1] else None
+            else:
+                last = None
+        at += p
+    assert max(often.values()) < least
+    assert len(symbols) < len(ids) / 2.5
+
+
+def test_words_equal_the_library_on_random_strings():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    whole, own = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    rng = np.random.default_rng(6)
+    letters = [*"aAbzZ.,!?;:'’\"-<|>()0159 \n\t\r\x0b\x0c", "İ", "ı", "ſ", "ß", "ŉ", "é", "e\u0301", "\u0307", "ﬁ", "Σ", "ς", "क़", "ा", "日", "한", "\u1100\u1161", "\xa0", "\u2009", "\x85", "\x1c", "\ufeff", "😀", "</w>", "<|endoftext|>", "'s", "n't"]
+    texts = ["".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(1, 14))) for _ in range(6000)] + ["İ; İ, İ: x", None, ""]
+    ids, n = own.encode(pa.array(texts))
+    for t, a, b in zip(texts, np.cumsum(n) - n, np.cumsum(n), strict=True):
+        assert ids[a:b].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, tokens.END_ID], t
 
 
 def test_token_shards(spark, odd, empty, docs):
@@ -436,8 +472,9 @@ def test_words_equal_whole_texts():
     path = tokens.default_path()
     whole, own = Tokenizer.from_file(path), tokens.WordEncoder(path)
     texts = ["don't stop, it's fine.", "İstanbul ß ﬁ é 1234 a1b2", "<|endoftext|> <|startoftext|>x", " x y\x1cz\x85", "a.b,c! ... ?!", "日本語 テスト", "\r\n\t", "ΣΑΣ ΟΔΟΣ"]
-    for t, body in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(body, np.uint32)[:-1].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    ids, n = own.encode(pa.array(texts))
+    for t, a, b in zip(texts, np.cumsum(n) - n, np.cumsum(n), strict=True):
+        assert ids[a : b - 1].tolist() == whole.encode(t, add_special_tokens=False).ids and ids[b - 1] == tokens.END_ID, t
 
 
 # 7
