@@ -274,7 +274,7 @@ def wanted_filter(wanted: DataFrame) -> np.ndarray:
     """A Bloom filter over (class, rep), which goes to the tasks that read the texts, so that few other sets leave them."""
     n = wanted.count()
     size = min(MOST_BLOOM, max(LEAST_BLOOM, 1 << (16 * n).bit_length()))
-    bit = F.pmod(F.col("class").bitwiseXOR(F.col("rep") * 0x5851F42D), F.lit(size))
+    bit = F.pmod(F.col("class").bitwiseXOR(F.shiftleft("rep", 23)).bitwiseXOR(F.shiftrightunsigned("rep", 17)), F.lit(size))
     maps = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("chunk")).agg(F.bitmap_construct_agg((F.col("bit") % 32768).cast("int")).alias("bits"))
     bloom = np.zeros(size // 8, np.uint8)
     for row in maps.collect():  # at most as many bytes as MOST_BLOOM / 8
@@ -283,7 +283,7 @@ def wanted_filter(wanted: DataFrame) -> np.ndarray:
 
 
 def is_wanted(bloom: np.ndarray, name: int, doc: int) -> bool:
-    at = (name ^ ((doc * 0x5851F42D + (1 << 63)) % (1 << 64) - (1 << 63))) % (8 * len(bloom))
+    at = (name ^ (doc << 23) ^ ((doc & 0xFFFFFFFFFFFFFFFF) >> 17)) & (8 * len(bloom) - 1)
     return bool(bloom[at >> 3] >> (at & 7) & 1)
 
 

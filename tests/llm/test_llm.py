@@ -628,3 +628,25 @@ def test_pipeline(spark, docs):
     last = cp.STAGES[4][1](spark, mixed, SF).orderBy("doc_id").collect()
     assert [r.doc_id for r in last] == sorted(r.doc_id for r in mixed.select("doc_id").collect()) and last[0].start == 0
     assert all(a.start + a.n_tokens == b.start for a, b in itertools.pairwise(last))
+
+
+def test_pipeline_odd_rows(spark, odd, empty):
+    """Stages judge rows by doc_id and text: null ids, repeated rows, and one doc_id with several texts."""
+    import corpus_pipeline as cp
+
+    other = "un texte bien différent de tous les autres qui se trouvent dans cette table et qui reste donc seul"
+    more = spark.createDataFrame([(1, other, "fr", "s", 0), (None, PROSE, "en", "s", 0), (20, None, None, None, None), (None, other + " encore une fois", "fr", "s", 0)], odd.select(*cp.COLUMNS).schema)
+    docs = common.materialize(odd.select(*cp.COLUMNS).unionByName(more))
+    with_language = common.materialize(cp.identify_language(spark, docs, SF))
+    text = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    assert text(with_language) == sorted((str(r.doc_id), r.text) for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
+    alone = common.materialize(cp.drop_near_duplicates(spark, with_language, SF))
+    kept = [(i, t) for i, t in text(alone)]
+    assert kept.count(("1", PROSE)) == 1 and [i for i, t in kept if words_of(t) == words_of(PROSE)] == ["1"]
+    assert ("1", other) in kept and ("None", "null id here") in kept and sum(words_of(t) == words_of("one two") for _, t in kept) == 1
+    clean = common.materialize(cp.drop_contaminated(spark, alone, SF))
+    assert text(clean) == kept
+    stage = docs.where("false")
+    for _, step in cp.STAGES:
+        stage = step(spark, stage, SF)
+    assert stage.isEmpty()
