@@ -165,9 +165,10 @@ def compile_query(tree, lookup: Callable[[str], Column], age_nanos: Column | Non
         if encrypted or age_nanos is None:
             return F.lit(False)
         test = age_nanos > F.lit(tree.nanos) if tree.older else age_nanos < F.lit(tree.nanos)
-        return F.coalesce(test, F.lit(False))
+        return age_nanos.isNotNull() & test
     value = lookup(tree.key)
-    return F.coalesce(value == F.lit(tree.value) if tree.literal else globs.parse(tree.value).column(value), F.lit(False))
+    # Two-valued, and of tests that reach the scan, also below a negation.
+    return value.isNotNull() & (value == F.lit(tree.value) if tree.literal else globs.parse(tree.value).column(value))
 
 
 def evaluate(tree, tags: dict[str, str], age_nanos: int, encrypted: bool = False) -> bool:

@@ -80,3 +80,19 @@ def test_globs_reach_the_scan(spark, tmp_path):
     tree = q.parse("name=1-*")
     plan = spark.read.parquet(path).where(q.compile_query(tree, lambda k: F.col(k)))._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith" in plan
+
+
+@pytest.mark.parametrize(("text", "pushed"), [
+    ("name==a", ["EqualTo(name,a)"]), ("name=a", ["EqualTo(name,a)"]), ("name=a* and kind==b", ["StringStartsWith(name,a)", "EqualTo(kind,b)"]),
+    ("name=a* or kind==b", ["Or(", "StringStartsWith(name,a)", "EqualTo(kind,b)"]), ("~name==a", ["Or(", "IsNull(name)", "Not(EqualTo(name,a))"]), ("~ [ name=*a or kind=b ]", ["StringEndsWith(name,a)", "Not(EqualTo(kind,b))"]),
+])
+def test_queries_reach_the_scan(spark, tmp_path, text, pushed):
+    path, rows = str(tmp_path / "t"), [("a", "b"), ("xa", "c"), (None, "b"), ("ab", None), (None, None)]
+    spark.createDataFrame(rows, "name string, kind string").write.parquet(path)
+    tree = q.parse(text.split(" "))
+    found = spark.read.parquet(path).where(q.compile_query(tree, lambda k: F.col(k)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PushedFilters: ") :].split("ReadSchema")[0]
+    assert all(x in filters for x in pushed), filters
+    tags = [{k: v for k, v in zip(("name", "kind"), r, strict=True) if v is not None} for r in rows]
+    assert sorted(map(str, found.collect())) == sorted(str(r) for r in spark.createDataFrame(rows, "name string, kind string").collect() if q.evaluate(tree, tags[rows.index(tuple(r))], 0))
