@@ -24,6 +24,10 @@ def gc_size(count: int) -> int:
     return min(max(size_for(TARGET, count), MIN_BYTES), MAX_BYTES)
 
 
+#: Bytes of a filter that every task may hold.
+MAX_BROADCAST = 256 << 20
+
+
 def positions(addresses: np.ndarray, n_bits: int) -> np.ndarray:
     """Bit places of addresses given as an (n, 32) byte array."""
     return addresses.reshape(-1, SLICES, 8).copy().view("<u8")[:, :, 0] % np.uint64(n_bits)
@@ -37,11 +41,12 @@ def build(addresses: DataFrame, n_bytes: int, pieces: int = 64) -> bytes:
     """The filter of (address): each task fills its own, which are then united in pieces by a second stage."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_bytes * 8, bool)
+        bits = np.zeros(n_bytes, np.uint8)
         for batch in batches:
             if len(batch):
-                bits[positions(_bytes_of(batch.column(0)), n_bytes * 8).ravel().astype(np.int64)] = True
-        for k, part in enumerate(np.array_split(np.packbits(bits, bitorder="little"), pieces)):
+                at = positions(_bytes_of(batch.column(0)), n_bytes * 8).ravel()
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for k, part in enumerate(np.array_split(bits, pieces)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "bits"])
 
@@ -63,7 +68,9 @@ def build(addresses: DataFrame, n_bytes: int, pieces: int = 64) -> bytes:
 
 
 def probe(bits: bytes, address: Column) -> Column:
-    """If the filter may hold an address; never false for one it was built from."""
+    """If the filter may hold an address; never false for one it was built from. A filter of more than MAX_BROADCAST bytes isn't sent to tasks: an anti-join of addresses does its work then."""
+    if len(bits) > MAX_BROADCAST:
+        raise ValueError(f"a filter of {len(bits)} bytes is too large to broadcast")
     from pyspark.sql import SparkSession
     from pyspark.sql.functions import arrow_udf
 

@@ -140,9 +140,11 @@ def _oplog_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.compact(log, oplog.live_items(log)).select("log_offset", "op")
 
 
-@_register("oplog_tail", f"WITH {v.OPLOG_SQL} SELECT log_offset, op FROM oplog_v WHERE log_offset > 500 AND log_offset <= 9000")
+@_register("oplog_tail", f"WITH {v.OPLOG_SQL} SELECT log_offset, op FROM oplog_v WHERE log_offset > 500")
 def _oplog_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oplog.tail(v.oplog(spark, sf_dir), 500, 9000).select("log_offset", "op")
+    """What a reader that has seen offset 500 gets, with the log pinned at its current end."""
+    log = v.oplog(spark, sf_dir)
+    return oplog.tail(log, 500, log.agg(F.max("log_offset")).first()[0] or 0).select("log_offset", "op")
 
 
 @_register("remove_existing", f"WITH {v.OPLOG_SQL} SELECT count(DISTINCT item) AS removed FROM (SELECT unnest([log_offset - 1, log_offset - 3]) AS item FROM oplog_v WHERE op = 'RemoveItems') r SEMI JOIN (SELECT log_offset FROM oplog_v WHERE op = 'AddItem') a ON a.log_offset = r.item")
@@ -271,13 +273,13 @@ def _htree_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register("htree_walk", f"""WITH RECURSIVE edges AS (SELECT 'd' || doc_id AS child, 'n1/' || doc_id // {v.FANOUT} AS parent FROM documents
-  UNION ALL SELECT DISTINCT 'n1/' || doc_id // {v.FANOUT}, 'n2/' || doc_id // {v.FANOUT ** 2} FROM documents), walk AS (SELECT 'n2/0' AS address, 2 AS height UNION SELECT e.child, w.height - 1 FROM walk w JOIN edges e ON e.parent = w.address WHERE w.height > 0)
+  UNION ALL SELECT DISTINCT 'n1/' || doc_id // {v.FANOUT}, 'n2/' || doc_id // {v.FANOUT ** 2} FROM documents), walk AS (SELECT DISTINCT 'n2/' || doc_id // {v.FANOUT ** 2} AS address, 2 AS height FROM documents UNION SELECT e.child, w.height - 1 FROM walk w JOIN edges e ON e.parent = w.address WHERE w.height > 0)
   SELECT DISTINCT address FROM walk""")
 def _htree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.table(spark, sf_dir, "documents")
     low = d.selectExpr("concat('d', doc_id) AS child", f"concat('n1/', doc_id div {v.FANOUT}) AS parent")
     high = d.selectExpr(f"concat('n1/', doc_id div {v.FANOUT}) AS child", f"concat('n2/', doc_id div {v.FANOUT ** 2}) AS parent").distinct()
-    return htree.reachable(spark.createDataFrame([("n2/0", 2)], "root string, height int"), low.unionByName(high))
+    return htree.reachable(high.select(F.col("parent").alias("root"), F.lit(2).alias("height")).distinct(), low.unionByName(high))
 
 
 @_register("range_fetch", f"""WITH {v.CURSORS_SQL}, l AS (SELECT DISTINCT source, unnest(range(s, last + 1)) AS idx FROM cursors_v), r AS (SELECT source, min(s) + 3 AS a, min(s) + 7 AS b FROM cursors_v GROUP BY source)
@@ -372,14 +374,16 @@ def _encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sealed.select("doc_id", (chunks.decrypt(F.col("sealed"), key).cast("string") == F.col("data")).alias("same"), chunks.decrypt(F.col("sealed"), other).isNull().alias("hidden"))
 
 
-@_register("bloom_probe", f"WITH {v.PIECES_SQL} SELECT CAST(count(DISTINCT address) AS BIGINT) AS held FROM pieces_v WHERE doc_id % 2 = 0")
+@_register("bloom_probe", f"WITH {v.PIECES_SQL}, a AS (SELECT address, bool_or(doc_id % 2 = 0) AS own FROM pieces_v GROUP BY address) SELECT count(*) AS probed, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS held, CAST(0 AS BIGINT) AS missed, true AS few_false FROM a")
 def _bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All addresses that a filter was built from are found in it."""
+    """All addresses against a filter of some: it misses none of its own, and takes at most a twentieth of the others for its own."""
     from ..operators import bloom
 
-    own = v.pieces(spark, sf_dir).where("doc_id % 2 = 0").select("address").distinct()
+    every = v.pieces(spark, sf_dir).groupBy("address").agg(F.bool_or(F.col("doc_id") % 2 == 0).alias("own"))
+    own = every.where("own")
     bits = bloom.build(own, bloom.gc_size(own.count()))
-    return own.where(bloom.probe(bits, F.col("address"))).agg(F.count("*").alias("held"))
+    found = every.withColumn("found", bloom.probe(bits, F.col("address")))
+    return found.agg(F.count("*").alias("probed"), F.count_if(F.col("own") & F.col("found")).alias("held"), F.count_if(F.col("own") & ~F.col("found")).alias("missed"), (F.count_if(~F.col("own") & F.col("found")) * 20 <= F.count_if(~F.col("own"))).alias("few_false"))
 
 
 @_register("htree_build")
