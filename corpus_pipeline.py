@@ -46,7 +46,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = common.materialize(jaccard.link_documents(_keyed(docs)).select("doc_id", "component_id"))
-    joined = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    joined = common.materialize(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"))
     shared = common.materialize(groups.join(joined, "component_id").distinct())
     # Of each group with several rows: the smallest doc_id, null last, then the smallest key.
     ids = _among(docs, shared, "left_semi").select(KEY.alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), KEY.alias("key")).alias("place"))
