@@ -3,7 +3,7 @@
 Template: a run of adjacent turns of one role is ``### role:`` + newline, the texts of its turns
 with ``<cont/>`` + newline between them, then ``</turn>`` + newline. In roles and texts ``\\``, ``#``
 and ``<`` are written ``\\s``, ``\\h`` and ``\\l``; so no control string can occur in them, and the
-replacement is undone exactly. The loss mask covers the texts of the roles in ``loss_roles``.
+replacement is undone exactly. In roles ``:`` is written ``\\c`` as well, as it ends them. The loss mask covers the texts of the roles in ``loss_roles``.
 
 Defined results: rows are ordered by turn (null first), then role, then text; a null role or text is
 empty; a null conv_id is a conversation of its own; repeated rows stay; an empty table gives no rows;
@@ -19,23 +19,24 @@ from .common import table
 
 OPEN, COLON, BREAK, CLOSE = "### ", ":\n", "<cont/>\n", "</turn>\n"
 ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"))
+ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 
 
-def escape(c: Column) -> Column:
-    for plain, code in ESCAPES:
+def escape(c: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
+    for plain, code in escapes:
         c = F.replace(c, F.lit(plain), F.lit(code))
     return c
 
 
-def unescape(c: Column) -> Column:
-    for plain, code in reversed(ESCAPES):
+def unescape(c: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
+    for plain, code in reversed(escapes):
         c = F.replace(c, F.lit(code), F.lit(plain))
     return c
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted) of rows (conv_id, turn, role, text)."""
-    turns = rows.select("conv_id", F.struct("turn", escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
+    turns = rows.select("conv_id", F.struct("turn", escape(F.coalesce("role", F.lit("")), ROLE_ESCAPES).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     # Indices (from 1) at which a run of one role begins; each run's texts are then one slice.
     begins = F.expr("filter(sequence(1, size(t)), i -> i = 1 OR element_at(t, i).role <> element_at(t, i - 1).role)")
@@ -47,7 +48,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, formatted, turns): the original turns as an array of (role, text), from the string alone."""
     blocks = F.filter(F.split("formatted", F.lit("</turn>\\n"), -1), lambda x: x != "")
-    head = F.transform(blocks, lambda x: F.struct(unescape(F.substring_index(F.substr(x, F.lit(len(OPEN) + 1)), COLON, 1)).alias("role"), x.alias("x")))
+    head = F.transform(blocks, lambda x: F.struct(unescape(F.substring_index(F.substr(x, F.lit(len(OPEN) + 1)), COLON, 1), ROLE_ESCAPES).alias("role"), x.alias("x")))
     def body(h: Column) -> Column:
         start = F.locate(COLON, h["x"]) + F.lit(len(COLON))
         return F.split(F.substr(h["x"], start), F.lit(BREAK), -1)
@@ -77,7 +78,7 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), marked AS (
-  SELECT *, replace(replace(replace(role, '\', '\s'), '#', '\h'), '<', '\l') AS erole,
+  SELECT *, replace(replace(replace(replace(role, '\', '\s'), '#', '\h'), '<', '\l'), ':', '\c') AS erole,
     length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')) AS etext,
     CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role THEN 0 ELSE 1 END AS opens
   FROM rows

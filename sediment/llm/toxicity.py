@@ -116,17 +116,12 @@ def marginals(emit: np.ndarray, begins: np.ndarray, move: np.ndarray, start: flo
     return p, pair
 
 
-def train_field(slot: np.ndarray, begins: np.ndarray, label: np.ndarray, docs: np.ndarray, epochs: int = 6, rate: float = 0.5) -> dict:
-    """Weights that maximise the conditional likelihood of `label`, by AdaGrad over groups of documents."""
+def train_field(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.5) -> dict:
+    """Weights that maximise the conditional likelihood of the labels, by AdaGrad over groups of places: (slots, chain begins, labels)."""
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     move, move2, start, bias = np.zeros((2, 2)), np.full((2, 2), 1.0), -2.0, -4.0
-    cuts = np.searchsorted(docs, np.arange(0, docs[-1] + 257, 256)) if len(docs) else [0]
     for _ in range(epochs):
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if lo == hi:
-                continue
-            s, own, y = slot[:, lo:hi], begins[lo:hi].copy(), label[lo:hi]
-            own[0] = True
+        for s, own, y in groups:
             p, pair = marginals(w[s].sum(0) + bias, own, move, start)
             gap = y - p
             used = np.flatnonzero(np.abs(gap) > 1e-4)
@@ -212,13 +207,10 @@ def train(rows: DataFrame) -> dict | None:
         _, _, first, begins, forms = places(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         doc = np.repeat(np.arange(i, j), np.diff(first))
         y = (lexicon[(forms[: 1 + len(PREFIXES)] >> np.uint64(42)).astype(np.int64)].any(0) & (label[doc] == 1)).astype(np.int64)
-        s = slots(forms, begins)
-        # Chains without a toxic place all look alike: of clean documents and long toxic ones, every eighth is learned from, by place.
-        chain = np.cumsum(begins) - 1
-        busy = np.bincount(chain, y, minlength=chain[-1] + 1 if len(chain) else 0) > 0
-        keep = (busy | (np.arange(len(busy)) % 8 == 0))[chain] if len(chain) else np.zeros(0, bool)
-        parts.append((s[:, keep], begins[keep], y[keep], doc[keep]))
-    field = train_field(*(np.concatenate([p[k] for p in parts], -1) for k in range(4)))
+        if len(y):
+            parts.append((slots(forms, begins), begins, y))
+    field = train_field(parts)
+    del parts
     x = []
     for i, j in slices(at):
         _, _, first, begins, forms = places(raw[at[i] : at[j]], at[i : j + 1] - at[i])

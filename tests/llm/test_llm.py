@@ -124,6 +124,14 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).isEmpty()
 
 
+def test_chat_roles_and_long_texts(spark):
+    rows = [(1, 0, "user:\nx", "hello"), (1, 1, "user", "x:\nhello"), (1, 2, "a:b\\c:\n</turn>\n### ", ":\n"), (2, 0, "assistant", "### <\\:\n" * 100_000), (2, 1, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert back == {k: [(r[2], r[3]) for r in rows if r[0] == k] for k in (1, 2)}
+    assert chat.digests(chat.read_back(chat.format_conversations(df.limit(0)))).isEmpty()
+
+
 # 3
 
 
