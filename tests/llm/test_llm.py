@@ -107,6 +107,18 @@ def test_scoring_beats_its_base_on_trained_texts(spark, docs):
     assert got[0] > got[1]
 
 
+def test_scoring_depends_on_no_layout(spark, docs):
+    def scores(df, parts):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            return {r.doc_id: round(r.score, 6) for r in scoring.score_documents(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    assert scores(docs, "4") == scores(docs.repartition(7), "9")
+
+
 # 2
 
 
@@ -167,6 +179,14 @@ def test_media_formats(spark):
     assert [(s.type, s.valid, s.corrected) for s in got] == [("image/png", True, True), ("text/plain", False, False), (None, False, False), ("x", False, False)]
 
 
+def test_media_with_many_signatures_is_fast():
+    import time
+
+    began = time.process_time()
+    assert media.sniff(b"%PDF-" * 100_000) == (None, [])
+    assert media.sniff(b"PK\3\4" * 100_000)[0] is None and time.process_time() - began < 20
+
+
 def test_media_round_trip(odd, empty):
     got = media.media_features(media.store_texts(odd)).collect()
     texts = sorted((str(r.doc_id), (r.text or "").encode()) for r in odd.collect())
@@ -506,6 +526,58 @@ def test_mixture():
     assert language.infer(np.array([3000.0, 3000.0]), np.log(lik))[1] in ([0, 1], [1, 0])
 
 
+def test_mixture_sets_equal_the_best_of_all_subsets():
+    """The chosen languages against every subset's penalised likelihood."""
+    rng = np.random.default_rng(7)
+    for shares in ((1, 0, 0, 0), (0.5, 0.5, 0, 0), (0.2, 0, 0.8, 0), (0.4, 0.3, 0.3, 0), (0, 0, 0.05, 0.95), (0.25, 0.25, 0.25, 0.25)):
+        lik = rng.dirichlet(np.full(300, 0.3), 4).T + 1e-5
+        lik /= lik.sum(0)
+        n = rng.multinomial(3000, lik @ np.array(shares)).astype(float)
+        seen = n > 0
+        values = {}
+        for k in range(1, 5):
+            for own in itertools.combinations(range(4), k):
+                values[own] = language.mixture(n[seen], lik[seen][:, own], 500)[1] / 3 - language.PENALTY * np.log(n.sum()) * k
+        p, chosen = language.infer(n[seen], np.log(lik[seen]))
+        assert tuple(sorted(chosen)) == max(values, key=values.get)
+        assert np.abs(p - np.array(shares)).max() < 0.05
+
+
+# 8
+
+
+def brute_raking(rows, targets, dims, rounds=400):
+    """Weights of rows by repeated scaling, one row and one dimension at a time."""
+    weight, total = [1.0] * len(rows), sum(r["n"] for r in rows)
+    for _ in range(rounds):
+        for d in dims:
+            mass = collections.Counter()
+            for r, w in zip(rows, weight, strict=True):
+                mass[r[d]] += w * r["n"]
+            weight = [w * targets[d][r[d]] * total / mass[r[d]] for r, w in zip(rows, weight, strict=True)]
+    return weight
+
+
+def test_raking_equals_brute_force(spark):
+    rng = np.random.default_rng(14)
+    rows = [{"id": k, "source": f"s{rng.integers(0, 3)}", "lang": ["en", "de"][rng.integers(0, 2)], "topic": f"t{rng.integers(0, 4)}", "n": int(rng.integers(1, 90))} for k in range(300)]
+    dims = ("source", "lang", "topic")
+    targets = {}
+    for d in dims:
+        mass = collections.Counter()
+        for r in rows:
+            mass[r[d]] += r["n"]
+        flat = {v: (m / sum(mass.values())) ** mixing.FLATTEN for v, m in mass.items()}
+        targets[d] = {v: x / sum(flat.values()) for v, x in flat.items()}
+    targets["source"] = {"s0": 0.6, "s1": 0.3, "s2": 0.1}
+    want = brute_raking(rows, targets, dims)
+    df = spark.createDataFrame([(r["id"], r["source"], r["lang"], r["topic"], r["n"]) for r in rows], "doc_id long, source string, lang string, topic string, n_tokens long")
+    got = {r.doc_id: r for r in mixing.sample(df, mixing.cell_weights(df, {"source": targets["source"]})).collect()}
+    assert all(abs(got[r["id"]].token_weight - w) < 1e-5 * w for r, w in zip(rows, want, strict=True))
+    scale = mixing.RATE * sum(r["n"] for r in rows) / sum(r["n"] * w for r, w in zip(rows, want, strict=True))
+    assert all(abs(got[r["id"]].probability * got[r["id"]].weight - w * scale) < 1e-5 for r, w in zip(rows, want, strict=True))
+
+
 # 8
 
 
@@ -602,6 +674,30 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(odd, bench).isEmpty() and decontaminate.contaminated(empty, bench).isEmpty() and decontaminate.contaminated(odd, bench.limit(0)).isEmpty()
 
 
+def test_decontamination_recall(spark):
+    """Found pairs against all alignments: an overlap of 80 % over the whole item, with substituted words at random places."""
+    rng = np.random.default_rng(15)
+    items = [[f"w{x}" for x in rng.integers(0, 10**6, 30)] for _ in range(40)]
+    rows = []
+    for k in range(400):
+        own = list(items[k % 40])
+        for at in rng.choice(30, k // 40 % 9, replace=False):
+            own[at] = f"e{rng.integers(0, 10**6)}"
+        head = int(rng.integers(0, 20))
+        rows.append((k, " ".join([f"p{x}" for x in rng.integers(0, 10**6, head)] + own + [f"p{x}" for x in rng.integers(0, 10**6, 9)])))
+    want = set()
+    for k, text in rows:
+        w = text.split()
+        want |= {(k, i) for i, item in enumerate(items) if any(sum(a == b for a, b in zip(w[at : at + 30], item, strict=True)) >= 24 for at in range(len(w) - 29))}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 250 and len(want & got) >= 0.97 * len(want)
+    # Beyond the whole item, only runs of at least MIN_WORDS words of which 80 % agree are found.
+    for k, i in got - want:
+        w, item = rows[k][1].split(), items[i]
+        assert any(sum(a == b for a, b in zip(w[d + lo : d + hi], item[lo:hi], strict=True)) >= 0.8 * (hi - lo) for d in range(len(w) - 29) for lo in range(18) for hi in range(lo + 13, 31))
+
+
 # SQL, and the pipeline
 
 
