@@ -102,7 +102,15 @@ def content_address(data: Column, key: bytes | None = None) -> Column:
     return F.sha2(F.concat(F.lit(key), data) if key else data, 256)
 
 
-def text_or_bytes(raw: Column) -> Column:
-    """JSON of a byte string: a string if it is UTF-8, otherwise an array of its bytes."""
-    octets = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10))
-    return F.when(F.is_valid_utf8(raw.cast("string")), F.to_json(F.struct(raw.cast("string").alias("x")))).otherwise(F.concat(F.lit('{"x":['), F.array_join(octets, ","), F.lit("]}")))
+def from_hex(text: Column) -> Column:
+    """Bytes of hex digits in either case; null where it isn't hex."""
+    return F.unhex(text)
+
+
+def derived_key(first: Column, second: Column) -> Column:
+    """The key that two parts give together: the SHA-256 of one behind the other."""
+    return F.unhex(F.sha2(F.concat(first.cast("binary"), second.cast("binary")), 256))
+
+
+def all_zeros(data: Column) -> Column:
+    return F.length(F.replace(F.hex(data), F.lit("0"), F.lit(""))) == 0

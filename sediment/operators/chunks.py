@@ -172,8 +172,8 @@ def missing(addresses: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def new_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """One of each chunk that isn't stored; a stored one is never replaced."""
-    return chunks.dropDuplicates(["address"]).join(stored.select("address"), "address", "left_anti")
+    """One of each chunk that isn't stored; a stored one is never replaced. Addresses are compared first, so data of stored chunks don't move."""
+    return chunks.join(missing(chunks, stored), "address", "left_semi").dropDuplicates(["address"])
 
 
 def flush_stats(added: DataFrame) -> DataFrame:

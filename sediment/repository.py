@@ -6,19 +6,22 @@ tables it concerns and then replaces the pointer file, so readers see all of a c
 
 from __future__ import annotations
 
+import base64
 import bisect
+import hashlib
 import io
 import json
 import os
+import shutil
 import subprocess
 import tarfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -28,6 +31,7 @@ from .operators import htree, index, oplog, querylang
 
 TABLES = {"oplog": schemas.OPLOG, "items": schemas.ITEMS, "removed": schemas.ITEMS, "chunks": schemas.CHUNKS, "htree": schemas.HTREE_NODES, "index_entries": schemas.INDEX_ENTRIES}
 MAX_TAG_BYTES = 32 * 1024
+PEM = ("-----BEGIN SEDIMENT KEY-----", "-----END SEDIMENT KEY-----")
 MAX_SKEW_S = 15 * 60
 #: What each permission allows besides itself.
 IMPLIED = {"get": {"list"}, "remove": {"list"}}
@@ -73,16 +77,33 @@ class Key:
 
     def save(self, path: str) -> None:
         body = {k: (v.hex() if isinstance(v, bytes) else v) for k, v in self.__dict__.items()}
+        text = base64.encodebytes(json.dumps(body).encode()).decode()
         with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as f:
-            json.dump(body, f)
+            f.write(f"{PEM[0]}\n{text}{PEM[1]}\n")
 
     @staticmethod
     def load(path: str) -> Key:
         with open(path) as f:
-            body = json.load(f)
+            text = f.read().strip()
+        if text.startswith(PEM[0]):
+            if not text.endswith(PEM[1]):
+                raise ValueError("the key file is cut short")
+            text = base64.b64decode(text.removeprefix(PEM[0]).removesuffix(PEM[1])).decode()
+        body = json.loads(text)
         return Key(**{k: (bytes.fromhex(v) if k in ("seed", "address_key") else v) for k, v in body.items()})
 
 
+def checked_ids(ids: list[str]) -> list[str]:
+    if bad := [i for i in ids if len(i) != 32 or set(i.lower()) - set("0123456789abcdef")]:
+        raise ValueError(f"invalid id {bad[0]!r}")
+    return ids
+
+
+def read_ids(lines: Iterator[str]) -> list[str]:
+    """Ids from a text stream, one on a line; blank lines are skipped, and any bad line is an error."""
+    return checked_ids([line.strip() for line in lines if line.strip()])
+
+
 def default_name(paths: list[str]) -> str:
     """The name tag of an upload: the file's name, or that of the directory or common directory with .tar."""
     if len(paths) == 1 and not os.path.isdir(paths[0]):
@@ -125,8 +146,8 @@ class Repository:
         os.replace(tmp, self._pointer)
 
     @contextmanager
-    def _locked(self) -> Iterator[dict]:
-        """One writer at a time; what the block leaves in the state is published if it ends well."""
+    def _locked(self, then: Callable[[dict], None] | None = None) -> Iterator[dict]:
+        """One writer at a time; what the block leaves in the state is published if it ends well, and `then` runs before others may write."""
         import fcntl
 
         with open(os.path.join(self.path, "lock"), "w") as f:
@@ -134,6 +155,8 @@ class Repository:
             state = self.state()
             yield state
             self._publish(state)
+            if then:
+                then(state)
 
     def table(self, name: str, state: dict | None = None) -> DataFrame:
         files = (state or self.state())["tables"][name]
@@ -271,6 +294,14 @@ class Repository:
         """An item by id, removed ones that weren't collected included."""
         return self.table("items", state).unionByName(self.table("removed", state)).where(F.col("item_id") == item_id.lower())
 
+    def read_items(self, ids: list[str]) -> DataFrame:
+        """The items of these ids, removed ones that weren't collected included, in the order of the list; an error names ids that are missing."""
+        asked = self.spark.createDataFrame([(k, i.lower()) for k, i in enumerate(checked_ids(ids))], "place long, item_id string")
+        known = self.table("items").unionByName(self.table("removed"))
+        if lost := [r.item_id for r in asked.join(known, "item_id", "left_anti").orderBy("place").limit(10).collect()]:
+            raise NoMatch(f"no such items: {', '.join(lost)}")
+        return asked.join(known, "item_id").orderBy("place").drop("place")
+
     def list(self, query: str | list[str] | None = None, now_millis: int | None = None, encrypted: bool = False, utc: bool = True) -> DataFrame:
         """Live items in log order with their tags, synthetic ones included."""
         self._need("list")
@@ -292,7 +323,11 @@ class Repository:
     def one(self, query: str | list[str]) -> dict:
         """The item that a query matches; an id alone is looked up without a scan."""
         item_id = querylang.single_id(querylang.parse(query))
-        found = (self.find_item(item_id) if item_id else self.list(query)).limit(2).collect()
+        if item_id:
+            self._need("list")
+            if not self.key.can_list:
+                raise NotPermitted("this key can't list")
+        found = (self.find_item(item_id).where(F.col("primary_key_id") == self.key.primary) if item_id else self.list(query)).limit(2).collect()
         if not found:
             raise NoMatch(f"nothing matches {query!r}")
         if len(found) > 1:
@@ -309,19 +344,43 @@ class Repository:
         if not self.key.can_get:
             raise NotPermitted("this key can't get")
         item = self.one(query)
-        pieces = ck.fetch(self._leaves(item["data_tree"]), self.table("chunks")).toLocalIterator()
-        data = b"".join(self._checked(r) for r in pieces)
-        if len(data) != item["data_size"]:
-            raise ValueError("the data has another length than was recorded")
-        if item["index_tree"] is None:
-            return data
+        if item["index_tree"] is None or not pick:
+            pieces = ck.fetch(self._leaves(item["data_tree"]), self.table("chunks")).toLocalIterator()
+            data = b"".join(self._checked(r) for r in pieces)
+            if len(data) != item["data_size"]:
+                raise ValueError("the data has another length than was recorded")
+            if item["index_tree"] is None:
+                return data
         entries = self.table("index_entries").where(F.col("item_id") == item["item_id"])
-        offsets = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        entries = entries.withColumn("at", F.coalesce(F.sum("size").over(offsets), F.lit(0)))
-        if pick and index.picked_kind(entries, pick) == "regular":
-            r = entries.where(F.col("path") == pick.rstrip("/")).first()
-            return data[r.at : r.at + r.size]
-        return self.tar(index.hard_links(index.pick(entries, pick or ".")).orderBy(scalars.path_key(F.col("path"))).toLocalIterator(), data)
+        if not pick:
+            offsets = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+            entries = entries.withColumn("at", F.coalesce(F.sum("size").over(offsets), F.lit(0)))
+            return self.tar(index.hard_links(entries).orderBy(scalars.path_key(F.col("path"))).toLocalIterator(), lambda e: data[e.at : e.at + e.size])
+        kind = index.picked_kind(entries, pick)
+        own = index.below(F.col("path"), pick.rstrip("/")) if kind == "directory" else F.col("path") == pick.rstrip("/")
+        body = self._bodies(item, entries, own)
+        chosen = index.absolute_chunks(entries).where(own)
+        if kind == "regular":
+            return body(chosen.first())
+        return self.tar(index.hard_links(index.pick(chosen, pick)).orderBy(scalars.path_key(F.col("path"))).toLocalIterator(), body)
+
+    def _bodies(self, item: dict, entries: DataFrame, own: Column) -> Callable:
+        """The bytes of an entry (first_chunk, data_cursor), from the chunks alone that hold the entries `own`: other sub-trees aren't walked, other chunks aren't read."""
+        ranges = index.chunk_ranges(entries, selected=own).select(F.lit("t").alias("tree_id"), "start_idx", "end_idx")
+        found = ck.fetch(self._leaves(item["data_tree"], ranges), self.table("chunks")).toLocalIterator()
+        held = {r.pos: self._checked(r) for r in found}  # what was asked for, and the rest of its chunks
+        self.last_fetched = len(held)
+
+        def body(e) -> bytes:
+            if not e.size:
+                return b""
+            c, first = e.data_cursor, e.first_chunk
+            if not c.chunk_delta:
+                return held[first][c.start_byte_offset : c.end_byte_offset]
+            parts = [held[first][c.start_byte_offset :], *(held[first + k] for k in range(1, c.chunk_delta)), held[first + c.chunk_delta][: c.end_byte_offset] if c.end_byte_offset else b""]
+            return b"".join(parts)
+
+        return body
 
     def _checked(self, row) -> bytes:
         data = bytes(row.data) if row.data is not None else None
@@ -330,8 +389,8 @@ class Repository:
         return data
 
     @staticmethod
-    def tar(entries, data: bytes) -> bytes:
-        """A PAX archive of entries (path, at, size, mode, ..., first_path)."""
+    def tar(entries, content: Callable) -> bytes:
+        """A PAX archive of entries (path, size, mode, ..., first_path) with what `content` gives for each file; an error if that isn't what was hashed."""
         types = {scalars.REGULAR: tarfile.REGTYPE, scalars.DIRECTORY: tarfile.DIRTYPE, scalars.SYMLINK: tarfile.SYMTYPE, scalars.CHARACTER: tarfile.CHRTYPE, scalars.BLOCK: tarfile.BLKTYPE, scalars.FIFO: tarfile.FIFOTYPE}
         out = io.BytesIO()
         with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
@@ -345,7 +404,9 @@ class Repository:
                 if e.first_path:
                     info.type, info.linkname = tarfile.LNKTYPE, e.first_path
                 elif info.type == tarfile.REGTYPE:
-                    body = data[e.at : e.at + e.size]
+                    body = content(e)
+                    if len(body) != e.size or e.data_hash and e.data_hash != "sha256:" + hashlib.sha256(body).hexdigest():
+                        raise ValueError(f"{e.path} has other contents than were recorded")
                 info.size = len(body)
                 tar.addfile(info, io.BytesIO(body))
         return out.getvalue()
@@ -384,6 +445,13 @@ class Repository:
         columns = [c for c in self.table("index_entries").columns if c not in ("item_id", "seq")]
         return index.restore_plan(self.local_index(target).select(*columns), self.list_contents(query, pick).select(*columns))
 
+    def plan_attributes(self, target: str, query: str | list[str], pick: str | None = None) -> DataFrame:
+        """Entries whose permissions, extended attributes or times differ from the snapshot's: the second step of a restore, once contents are equal."""
+        self._need("get")
+        columns = [c for c in self.table("index_entries").columns if c not in ("item_id", "seq")]
+        changed = index.diff(self.local_index(target).select(*columns), self.list_contents(query, pick).select(*columns), index.RESTORE_ATTRIBUTES)
+        return changed.where("op = '+'")
+
     def restore(self, target: str, query: str | list[str], pick: str | None = None) -> int:
         """Make a local directory equal a snapshot: deletions from the leaves up, directories, files, links, then attributes. Returns the steps taken."""
         steps = sorted(self.plan_restore(target, query, pick).collect(), key=lambda r: (r.phase, r.path if r.phase else "", r.step))
@@ -398,7 +466,7 @@ class Repository:
         for member in archive:
             if member.name in wanted and member.name != ".":
                 archive.extract(member, target, filter="tar")
-        entries = self.list_contents(query, pick).collect()
+        entries = self.plan_attributes(target, query, pick).orderBy(scalars.path_key(F.col("path"))).collect()
         for e in reversed(entries):
             own = os.path.join(target, e.path) if e.path != "." else target
             if (e.mode & scalars.TYPE_MASK) != scalars.SYMLINK:
@@ -415,9 +483,7 @@ class Repository:
             ids = [r.item_id for r in self.list(query).select("item_id").collect()]
             if len(ids) > 1 and not allow_many:
                 raise ManyMatches("the query matches several items")
-        if bad := [i for i in ids if len(i) != 32 or set(i.lower()) - set("0123456789abcdef")]:
-            raise ValueError(f"invalid id {bad[0]!r}")
-        named = self.spark.createDataFrame([(i.lower(),) for i in set(ids)], "item_id string")
+        named = self.spark.createDataFrame([(i.lower(),) for i in set(checked_ids(ids))], "item_id string")
         with self._locked() as state:
             gone = self.table("items", state).join(named, "item_id", "left_semi").collect()
             if gone:
@@ -445,15 +511,38 @@ class Repository:
         trees = F.array("data_tree", "index_tree")
         return items.select(F.explode(trees).alias("t")).where("t IS NOT NULL").select(F.col("t.address").alias("root"), "t.height")
 
+    def _sweep(self, state: dict, marks: DataFrame) -> dict:
+        """Leave marked chunks only. Addresses decide; data are read of those parts alone that hold a dead chunk."""
+        stored = self.table("chunks", state)
+        stats = ck.sweep_stats(stored, marks).first().asDict()
+        dead = stored.select("address", F.col("_metadata.file_path").alias("file")).join(marks, "address", "left_anti") if state["tables"]["chunks"] else None
+        files = [] if dead is None else [r.file for r in dead.select("file").distinct().collect()]  # one name for each file
+        touched = {p for p in state["tables"]["chunks"] if any(f"/{p}/" in f for f in files)}
+        if touched:
+            old = self.spark.read.schema(TABLES["chunks"]).parquet(*(os.path.join(self.path, p) for p in sorted(touched)))
+            kept = self._write("chunks", old.join(marks, "address", "left_semi"))
+            state["tables"]["chunks"] = [p for p in state["tables"]["chunks"] if p not in touched] + [kept]
+        return stats
+
+    def _tidy(self, state: dict) -> None:
+        """Delete parts that the published version doesn't name: what a collection replaced, and what failed writers left."""
+        named = {p for parts in state["tables"].values() for p in parts}
+        for name in TABLES:
+            folder = os.path.join(self.path, name)
+            for part in os.listdir(folder) if os.path.isdir(folder) else ():
+                if f"{name}/{part}" not in named:
+                    shutil.rmtree(os.path.join(folder, part))
+
     def gc(self) -> dict:
-        """Forget removed items, compact the log and delete unreachable chunks; a new generation invalidates caches."""
+        """Forget removed items, compact the log and delete unreachable chunks, with their files; a new generation invalidates caches.
+
+        It excludes writers; a reader that still holds a frame of an older version must read again."""
         self._need("gc")
-        with self._locked() as state:
+        with self._locked(self._tidy) as state:
             items = self.table("items", state)
             marks = htree.reachable(self._tops(items), self.table("htree", state))
-            stored, edges = self.table("chunks", state), self.table("htree", state)
-            stats = ck.sweep_stats(stored, marks).first().asDict()
-            self._replace(state, "chunks", stored.join(marks, "address", "left_semi"))
+            edges = self.table("htree", state)
+            stats = self._sweep(state, marks)
             self._replace(state, "htree", edges.join(marks, edges["parent"] == marks["address"], "left_semi"))
             self._replace(state, "index_entries", self.table("index_entries", state).join(items.select("item_id"), "item_id", "left_semi"))
             self._replace(state, "oplog", oplog.compact(self.table("oplog", state), items))
@@ -479,10 +568,10 @@ class Repository:
                 edges = edges.join(marks, edges["parent"] == marks["address"], "left_semi").join(to.table("htree", state).select("parent").distinct(), "parent", "left_anti")
                 to._append(state, "htree", edges)
                 to._append(state, "index_entries", self.table("index_entries").join(new.select("item_id"), "item_id", "left_semi"))
-            for r in rows:
-                item = r.asDict(recursive=True)
-                at = to._log(state, schemas.ADD, item)
-                to._append(state, "items", self.spark.createDataFrame([{**item, "log_offset": at}], schemas.ITEMS))
+                placed = [{**r.asDict(recursive=True), "log_offset": state["next_offset"] + k} for k, r in enumerate(rows)]
+                to._append(state, "oplog", self.spark.createDataFrame([(i["log_offset"], schemas.ADD, i["item_id"], None, i, None) for i in placed], schemas.OPLOG))
+                to._append(state, "items", self.spark.createDataFrame(placed, schemas.ITEMS))
+                state["next_offset"] += len(placed)
         return copied | {"items": len(rows)}
 
     def verify(self) -> DataFrame:

@@ -51,6 +51,19 @@ def file_hash(path: bytes) -> str:
         return "sha256:" + hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def sparse_copy(source, target, block: int = 4096) -> int:
+    """Copy a binary stream into a file, with holes where whole blocks are zero; the bytes copied."""
+    size = 0
+    while part := source.read(block):
+        if part.count(0) == len(part):
+            target.seek(len(part), os.SEEK_CUR)
+        else:
+            target.write(part)
+        size += len(part)
+    target.truncate(size)
+    return size
+
+
 def entry(path: bytes, base: bytes, want_hash: bool, want_xattrs: bool) -> tuple:
     """The row of one path, without its place; numbers of devices only for device nodes, sizes only for files."""
     st = os.lstat(path)

@@ -219,3 +219,12 @@ def test_send_log(spark):
     assert names(touched) == ["a", "b", "c", "d", "z"]
     assert names(sendlog.commit(touched, "s9", "new")) == ["a", "z"]
     assert names(sendlog.unsent(seen.distinct(), log)) == ["z"]
+
+
+def test_hex_keys_and_zeros(spark):
+    import hashlib
+
+    row = spark.createDataFrame([("aBcD", b"one", b"two", bytes(5), b"\0\1", b"")], "h string, a binary, b binary, z binary, y binary, e binary").select(
+        scalars.from_hex(F.col("h")), scalars.derived_key(F.col("a"), F.col("b")), scalars.all_zeros(F.col("z")), scalars.all_zeros(F.col("y")), scalars.all_zeros(F.col("e"))
+    ).first()
+    assert (bytes(row[0]), bytes(row[1]), *row[2:]) == (b"\xab\xcd", hashlib.sha256(b"onetwo").digest(), True, False, True)

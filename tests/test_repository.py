@@ -145,3 +145,88 @@ def test_log_stream(spark, tmp_path):
     assert run() == ["b"]
     spark.createDataFrame([(3, schemas.RECOVER, None, None)], schema).write.mode("append").parquet(source)
     assert run() == ["a", "b"]
+
+
+def disk(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_gc_frees_the_disk(repo):
+    keep, drop = os.urandom(40_000), os.urandom(400_000)
+    repo.put_bytes(keep, {"name": "keep"}, **SIZES)
+    before = disk(repo.path)
+    untouched = repo.state()["tables"]["chunks"]
+    repo.put_bytes(drop + keep[:10_000], {"name": "drop"}, **SIZES)
+    repo.rm("name=drop")
+    full = disk(repo.path)
+    stats = repo.gc()
+    assert stats["bytes_deleted"] > 390_000 and disk(repo.path) < before + 60_000 < full
+    assert set(untouched) <= set(repo.state()["tables"]["chunks"])
+    assert repo.get("name=keep") == keep and repo.verify().isEmpty()
+
+
+def test_pick_reads_only_its_chunks(repo, tmp_path):
+    base = tmp_path / "many"
+    bodies = {f"d{k}/f{k}": os.urandom(6000) for k in range(6)}
+    for path, body in bodies.items():
+        (base / path).parent.mkdir(parents=True)
+        (base / path).write_bytes(body)
+    item = repo.put_dir(str(base), {"name": "many"}, **SIZES)
+    chunks = repo.one(f"id={item}")["data_tree"]["data_chunk_count"]
+    for path, body in bodies.items():
+        assert repo.get("name=many", path) == body and repo.last_fetched < chunks / 2
+    with tarfile.open(fileobj=io.BytesIO(repo.get("name=many", "d3"))) as tar:
+        assert tar.extractfile("f3").read() == bodies["d3/f3"] and repo.last_fetched < chunks / 2
+
+
+def test_batch_lookup_and_ids(repo):
+    ids = [repo.put_bytes(bytes([k]), {"k": str(k)}, **SIZES) for k in range(3)]
+    repo.rm("k=1")
+    assert [r.item_id for r in repo.read_items([ids[2], ids[1].upper()]).collect()] == [ids[2], ids[1]]
+    with pytest.raises(rp.NoMatch):
+        repo.read_items([ids[0], "0" * 32])
+    assert rp.read_ids(iter([f"{ids[0]}\n", "\n", f" {ids[1]}\n"])) == ids[:2]
+    with pytest.raises(ValueError):
+        rp.read_ids(iter(["zz\n"]))
+    stranger = rp.Repository(repo.spark, repo.path, key=rp.Key())
+    with pytest.raises(rp.NoMatch):
+        stranger.one(f"id={ids[0]}")
+
+
+def test_attributes_are_a_second_plan(repo, tree, tmp_path):
+    repo.put_dir(str(tree), {"k": "1"}, **SIZES)
+    target = tmp_path / "out"
+    target.mkdir()
+    repo.restore(str(target), "k=1")
+    os.chmod(target / "bang", 0o600)
+    assert repo.plan_restore(str(target), "k=1").isEmpty()
+    assert {"bang"} <= {r.path for r in repo.plan_attributes(str(target), "k=1").collect()}
+    repo.restore(str(target), "k=1")
+    assert os.stat(target / "bang").st_mode == os.stat(tree / "bang").st_mode
+
+
+def test_lines(repo, tree):
+    import json
+
+    from sediment.functions import render
+
+    repo.put_dir(str(tree), {"name": "a \"b\""}, **SIZES)
+    entries = repo.list_contents("name=a*")
+    width = render.size_width(entries)
+    lines = [r[0] for r in entries.select(render.contents_line(width)).collect()]
+    assert width == len("4.88KiB") or width == len("4.90KiB")
+    assert lines[1].startswith("-rw") and lines[1].endswith(" bang") and " 4B " in lines[1] and lines[0].split()[1] == "-"
+    objects = [json.loads(r[0]) for r in entries.select(render.contents_json(entries)).collect()]
+    assert [o["path"] for o in objects] == [r.path for r in entries.collect()] and objects[1]["size"] == 4
+    item = json.loads(repo.list().select(render.item_json()).first()[0])
+    assert item["tags"]["name"] == 'a "b"' and list(item["tags"])[0] == "id" and item["data_tree"]["height"] >= 0
+    (tree / "new").write_text("x")
+    signs = [r[0] for r in repo.diff("name=a*", str(tree), ignore="inode,nlink,ctime,mtime").select(render.diff_line(render.contents_line())).collect()]
+    assert len(signs) == 1 and signs[0].startswith("+ -rw") and signs[0].endswith(" new")
+
+
+def test_sparse_copy(tmp_path):
+    body = b"a" * 100 + bytes(3 * 4096) + b"b" * 5000 + bytes(9000)
+    with open(tmp_path / "x", "wb") as f:
+        assert directory.sparse_copy(io.BytesIO(body), f) == len(body)
+    assert (tmp_path / "x").read_bytes() == body
