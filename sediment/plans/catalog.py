@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import globs, scalars
+from ..functions import globs, render, scalars
 from ..operators import chunks, htree, index, oplog, querylang, sendlog
 from . import views as v
 
@@ -116,6 +116,16 @@ def _path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local.join(F.broadcast(sizes), "part").select("path", (F.col("own") + F.col("before")).alias("place"))
 
 
+@_register("contents_lines", f"WITH {v.snapshot_sql('a')} SELECT '-rw-r--r-- ' || rpad({_UNITS_SQL}, {render.WIDEST}, ' ') || ' ' || strftime(make_timestamp(size * 1000000000), '%Y/%m/%d %H:%M:%S') || ' ' || path AS line FROM snap_a")
+def _contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.snapshot(spark, sf_dir, "a").withColumn("ctime", F.col("size") * 1000).select(render.contents_line().alias("line"))
+
+
+@_register("derived_key", "SELECT doc_id, sha256(lang || source) AS derived FROM documents")
+def _derived_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(scalars.derived_key(F.col("lang"), F.col("source")))).alias("derived"))
+
+
 @_register("tag_display", f"WITH {v.DOCS_SQL} SELECT doc_id, 'lang=\"' || lang || '\"' || coalesce(' quality=\"' || quality || '\"', '') || ' source=\"' || source || '\"' || coalesce(' toxic=\"' || toxic || '\"', '') AS line FROM docs_v")
 def _tag_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.docs(spark, sf_dir).select("doc_id", scalars.human_tags(F.col("tags")).alias("line"))
