@@ -13,7 +13,7 @@ table gives no rows; columns that documents don't have are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm import common, decontaminate, jaccard, language, mixing, tokens
@@ -23,20 +23,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 1 << 20
 
 
-#: What a row is known by within a stage: rows of one doc_id and text are alike.
-KEY = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def _key() -> Column:
+    """What a row is known by within a stage: rows of one doc_id and text are alike."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs for an operator that reads doc_id and text: with KEY as the doc_id."""
-    return docs.select(KEY.alias("doc_id"), "text")
+    """docs for an operator that reads doc_id and text: with that key as the doc_id."""
+    return docs.select(_key().alias("doc_id"), "text")
 
 
 def _among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """docs whose KEY is (left_semi) or isn't (left_anti) among `keys` (doc_id)."""
+    """docs whose key is (left_semi) or isn't (left_anti) among `keys` (doc_id)."""
     keys = common.materialize(keys.select(F.col("doc_id").alias("__key")).distinct())
     few = keys.count() <= BROADCAST_IDS
-    return docs.select(*COLUMNS, KEY.alias("__key")).join(F.broadcast(keys) if few else keys, "__key", how).select(*COLUMNS)
+    return docs.select(*COLUMNS, _key().alias("__key")).join(F.broadcast(keys) if few else keys, "__key", how).select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     joined = common.materialize(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"))
     shared = common.materialize(groups.join(joined, "component_id").distinct())
     # Of each group with several rows: the smallest doc_id, null last, then the smallest key.
-    ids = _among(docs, shared, "left_semi").select(KEY.alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), KEY.alias("key")).alias("place"))
+    ids = _among(docs, shared, "left_semi").select(_key().alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), _key().alias("key")).alias("place"))
     first = ids.distinct().join(shared, "doc_id").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.key").alias("doc_id"))
     first = common.materialize(first)
     gone = shared.select("doc_id").join(first, "doc_id", "left_anti")
