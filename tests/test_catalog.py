@@ -1,6 +1,9 @@
 """Every registered query against its SQL on the small tables."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -33,3 +36,8 @@ def test_query(spark, duck, name):
         assert rows(got, columns) == rows(want, columns)
     else:
         assert len(got) > 0
+
+
+def test_entry_needs_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
