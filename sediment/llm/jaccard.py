@@ -25,8 +25,12 @@ What is still hot (groups of thousands of near copies) isn't expanded into pairs
 are measured against its most typical one; only members of different components are looked at after that, one
 of them must hold nearly all of its set at or behind the bucket's shingle, and their distances from the typical
 one (1 - similarity is a metric) must differ by no more than that of a link. So every link between documents of
-different components is found and the components are exact, while links within a component are verified only
-as far as it takes: n_verified_links counts these.
+different components is found and the components are exact.
+
+Counting links: a pair that may not have been verified by then has both its classes in hot buckets, and lies in one
+component. The classes of a component that are in hot buckets are cut into blocks of bounded size, and each two
+blocks are one task's work: all common hashes as a product of matrices, of which only the links of each class leave.
+All other links were verified before. So n_links is exact, and rows stay linear in the classes of a block.
 
 Hot keys: a key that more than SMALL classes of one task share is hot already; its members then go to tasks by
 their own hash, and its home only gets a marker. Homes read their parts in bounded pieces.
@@ -34,7 +38,7 @@ their own hash, and its home only gets a marker. Homes read their parts in bound
 Verification counts common hashes exactly. Nothing is capped or dropped.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; copies
-share a component; repeated rows of one doc_id stay as rows; rows with a null doc_id are left out,
+share a component, and count among each other's links; repeated rows of one doc_id stay as rows; rows with a null doc_id are left out,
 for they can't name a component; other columns are ignored.
 """
 
@@ -59,6 +63,8 @@ BUFFER_KEYS, PART_TEXT, PIECE_BYTES = 1 << 19, 8 << 20, 24 << 20
 #: Bits of the filter for wanted sets: 16 for each set, within these bounds (16 MB at most); beyond, more sets pass it in vain.
 LEAST_BLOOM, MOST_BLOOM = 1 << 20, 1 << 27
 STAGED = "kind int, a long, b long, c long, d long, " + ", ".join(f"{s} long" for s in SKETCHED)
+#: A block of a component, when links are counted: hashes and classes it holds on average, and columns of a matrix at once.
+BLOCK_HASHES, BLOCK_CLASSES, COLUMNS = 1 << 21, 1 << 10, 1 << 12
 DEALT = "part int, kind int, body binary"
 
 
@@ -383,30 +389,91 @@ def rare_buckets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     return pairs, kept.where(F.col("size") > SMALL).select("key", "class", "n", "rank")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id, n_verified_links) of documents (doc_id, text).
-
-    n_verified_links counts the links of the document's class that were verified: those that its component was built from."""
+def cell_links(cell: pa.Table) -> pa.Table:
+    """(class, n): for each class of two blocks the copies that its links in the other block have (one block: in itself).
+
+    cell: (lo, hi, block, class, copies, hashes) of one pair lo <= hi of blocks."""
+    cell = cell.sort_by("block").combine_chunks()
+    lo, hi = cell["lo"][0].as_py(), cell["hi"][0].as_py()
+    block, copies = cell["block"].to_numpy(), cell["copies"].to_numpy()
+    sets = cell["hashes"].combine_chunks()
+    size = sets.value_lengths().to_numpy().astype(np.int64)
+    _, code, often = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = often > 1  # what one class holds alone is in no intersection
+    owner = np.repeat(np.arange(len(size)), size)[shared[code]]
+    code = (np.cumsum(shared) - 1)[code[shared[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    left = slice(0, int((block == lo).sum()))
+    right = left if lo == hi else slice(left.stop, len(size))
+    common = np.zeros((left.stop, len(size[right])), np.int64)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(code, [first, first + COLUMNS])
+        held = np.zeros((len(size), COLUMNS), np.float32)
+        held[owner[i:j], code[i:j] - first] = 1
+        common += np.rint(held[left] @ held[right].T).astype(np.int64)
+    link = 100 * common >= 80 * (size[left][:, None] + size[right] - common)
+    if lo == hi:
+        np.fill_diagonal(link, False)
+        n = link @ copies
+    else:
+        n = np.concatenate([link @ copies[right], copies[left] @ link])
+    return pa.table({"class": cell["class"], "n": pa.array(n.astype(np.int64))})
+
+
+def links_inside(sets: DataFrame, about: DataFrame) -> DataFrame:
+    """(class, n): the copies that the links of each class among the others of its component have.
+
+    sets: (class, hashes); about: (class, component, copies, n_shingles)."""
+    blocks = about.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes")).where("n > 1")
+    blocks = materialize(blocks.selectExpr("component", f"cast(greatest(ceil(hashes / {BLOCK_HASHES}), ceil(n / {BLOCK_CLASSES})) AS int) AS blocks"))
+    placed = about.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    cells = placed.join(sets.select("class", "hashes"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "copies", "hashes")
+    return cells.groupBy("component", "lo", "hi").applyInArrow(cell_links, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
+
+
+def link_counts(links: DataFrame, groups: DataFrame, crowded: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, n_links): the documents that each class links with, its own copies left out; `crowded`: the classes in hot buckets."""
+    copies = classes.select("class", "copies")
+    about = materialize(crowded.join(groups.select(F.col("id").alias("class"), "component"), "class").join(classes.select("class", "copies", "n_shingles"), "class"))
+    flags = crowded.select("class", F.lit(True).alias("hot"))
+    apart = links.join(flags.toDF("a", "hot_a"), "a", "left").join(flags.toDF("b", "hot_b"), "b", "left").where("hot_a IS NULL OR hot_b IS NULL")
+    apart = apart.select(F.inline(F.array(F.struct(F.col("a").alias("to"), F.col("b").alias("class")), F.struct(F.col("b").alias("to"), F.col("a").alias("class")))))
+    apart = apart.join(copies, "class").groupBy(F.col("to").alias("class")).agg(F.sum("copies").alias("n"))
+    return materialize(apart.unionByName(links_inside(sets, about)).groupBy("class").agg(F.sum("n").alias("n_links")))
+
+
+def link_documents(docs: DataFrame, count: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, class, component_id) of documents (doc_id, text), and with `count` n_links.
+
+    n_links counts the other rows that a row links with: its copies, and all copies of the sets that its set links with."""
     docs = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     dealt = docs.mapInArrow(_emit(n_parts(docs)), DEALT)
     staged = materialize(to_parts(dealt).mapInArrow(_bucket, STAGED))
     members = staged.where("kind = 0").select(F.col("a").alias("class"), F.col("b").alias("doc_id"), F.col("c").alias("n_shingles"), *SKETCHED)
-    classes = members.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), *(F.max(s).alias(s) for s in SKETCHED))
+    classes = members.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), *(F.max(s).alias(s) for s in SKETCHED))
     classes = materialize(classes)
     hot = staged.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("class"))
     free = staged.where("kind = 3").groupBy(F.col("a").alias("class")).agg(F.min(F.col("d") - F.col("c")).alias("spare"))
     bound = hot.groupBy("class").agg(F.count("*").alias("n")).join(free, "class").where("n >= spare").select("class")
     bound = materialize(bound.join(classes.select("class", "rep"), "class"))
-    close, hot = rare_buckets(document_sets(docs, bound).join(bound, ["class", "rep"], "left_semi").dropDuplicates(["class"]))
+    sets = document_sets(docs, bound).join(bound, ["class", "rep"], "left_semi").dropDuplicates(["class"])
+    if count:
+        sets = materialize(sets, "uncompressed")
+    close, hot = rare_buckets(sets)
     small = staged.where("kind = 1").select("a", "b").unionByName(close)
-    links, groups = link_buckets(small, materialize(hot), lambda pairs: measured(pairs, classes, lambda wanted: document_sets(docs, wanted)))
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_verified_links"))
-    placed = materialize(classes.select("class", "rep").join(groups.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")))
+    hot = materialize(hot)
+    links, groups = link_buckets(small, hot, lambda pairs: measured(pairs, classes, lambda wanted: document_sets(docs, wanted)))
+    placed = materialize(classes.select("class", "rep", "copies").join(groups.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")))
     least = materialize(placed.groupBy("component").agg(F.min("rep").alias("component_id")))  # written, so that the join can split what meets in one component
-    placed = materialize(placed.join(least, "component").join(degree, "class", "left").select("class", "component_id", "n_verified_links"))
-    out = members.join(placed, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_verified_links", F.lit(0)).alias("n_verified_links"))
+    placed = placed.join(least, "component").select("class", "copies", "component_id")
+    if count:
+        crowded = materialize(hot.select("class").distinct())
+        placed = placed.join(link_counts(links, materialize(groups), crowded, sets, classes), "class", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_links", F.lit(0)))
+    out = members.join(materialize(placed), "class", "left")
+    return out.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_verified_links")
+    return link_documents(table(spark, sf_dir, "documents"), count=True).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -305,6 +305,17 @@ def brute_components(rows):
     return {i: (len(s), top(i)) for i, s in sets.items()}
 
 
+def brute_links(rows):
+    """How many other rows each document links with."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} - {()} for i, w in ((i, words_of(t)) for i, t in rows)}
+    out = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            out[a] += 1
+            out[b] += 1
+    return out
+
+
 def near_copies(seed):
     rng = np.random.default_rng(seed)
     rows, k = [], 0
@@ -328,8 +339,9 @@ def near_copies(seed):
 def test_jaccard_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard, "SMALL", small)
     rows = near_copies(small)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    got = jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), count=True).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    assert {r.doc_id: r.n_links for r in got} == brute_links(rows)
 
 
 def boilerplate(seed, n_docs):
@@ -356,20 +368,41 @@ def boilerplate(seed, n_docs):
     return rows
 
 
-@pytest.mark.parametrize("small", [1, 8])
-def test_jaccard_hot_buckets_equal_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "block", "columns"), [(1, 1 << 10, 1 << 12), (8, 5, 16)])
+def test_jaccard_hot_buckets_equal_brute_force(spark, monkeypatch, small, block, columns):
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
     rows = boilerplate(small, 240)
-    got = jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    rows += [(1000 + i, t) for i, t in rows[::3]]  # copies count as links
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    got = jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), count=True).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    assert {r.doc_id: r.n_links for r in got} == brute_links(rows)
+
+
+@pytest.mark.parametrize("columns", [3, 1 << 12])
+def test_cells_count_all_links(monkeypatch, columns):
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    rng = np.random.default_rng(columns)
+    sets = [sorted({*range(30)} - {*rng.integers(0, 30, 4).tolist()} | {*rng.integers(100, 10**6, k % 4).tolist()}) for k in range(40)]
+    copies = rng.integers(1, 5, 40)
+    link = np.array([[a is not b and 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b}) for b in sets] for a in sets])
+    for lo, hi in ((2, 2), (2, 5)):
+        block = np.full(40, 2) if lo == hi else rng.choice([2, 5], 40)
+        cell = pa.table({"lo": [lo] * 40, "hi": [hi] * 40, "block": block, "class": range(40), "copies": copies, "hashes": pa.array(sets, pa.list_(pa.int64()))})
+        got = dict(zip(*(c.to_pylist() for c in jaccard.cell_links(cell).columns), strict=True))
+        across = np.ones((40, 40), bool) if lo == hi else block[:, None] != block
+        assert got == dict(enumerate(((link & across) @ copies).tolist()))
+    alone = cell.filter(pa.array(block == 5))
+    assert set(jaccard.cell_links(alone)["n"].to_pylist()) == {0}
 
 
 def test_jaccard_one_shingle_in_thousands_of_documents(spark):
     """Thousands of unlike documents that share a shingle stay apart, and no bucket is expanded into all their pairs."""
     rng = np.random.default_rng(3)
     rows = [(k, " ".join([f"w{x}" for x in rng.integers(0, 10**7, 12)] + ["all", "rights", "are", "reserved", "here"])) for k in range(3000)]
-    got = jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 3000 and all(r.component_id == r.doc_id and r.n_verified_links == 0 for r in got)
+    got = jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), count=True).collect()
+    assert len(got) == 3000 and all(r.component_id == r.doc_id and r.n_links == 0 for r in got)
 
 
 def test_jaccard_parts_in_pieces(monkeypatch):
@@ -416,7 +449,9 @@ def test_jaccard_odd_rows(odd, empty):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_documents(odd).collect())
     want = brute_components([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None])
     assert sorted(set(got)) == sorted((i, *x) for i, x in want.items()) and len(got) == odd.where("doc_id IS NOT NULL").count()
-    assert jaccard.link_documents(empty).isEmpty()
+    assert jaccard.link_documents(empty, count=True).isEmpty()
+    counted = {r.doc_id: r.n_links for r in jaccard.link_documents(odd, count=True).collect()}
+    assert (counted[1], counted[2], counted[4], counted[6]) == (3, 3, 0, 1)  # repeated rows count, and a near copy
 
 
 # 6
