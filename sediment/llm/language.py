@@ -45,7 +45,9 @@ def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = (a[:-2] << np.uint32(16)) | (a[1:-1] << np.uint32(8)) | a[2:]
     hashed = ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
     hashed[code == 0x202020] = -1
-    return hashed, np.append(at[:-1] + 3 * np.arange(len(n)), len(raw) + 3 * len(n))
+    cut = np.append(at[:-1] + 3 * np.arange(len(n)), len(raw) + 3 * len(n))
+    hashed[cut[1:] - 1] = -1  # two blanks and the first byte of the next row
+    return hashed, cut
 
 
 def train(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
