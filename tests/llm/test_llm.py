@@ -119,6 +119,27 @@ def test_scoring_depends_on_no_layout(spark, docs):
     assert scores(docs, "4") == scores(docs.repartition(7), "9")
 
 
+def test_scoring_classes_are_the_languages_of_all_training_texts(spark, docs):
+    """Trigram counts against a brute-force count; a language of one text in thousands is a class; a text's own lang is no input of its score."""
+    texts = [("aaa bb " * 3, "x"), ("zzz", "y"), (None, "y"), ("zz aaa", None), ("", "x")]
+    got = scoring.fit_classes(spark.createDataFrame(texts * 5, "text string, lang string").repartition(4))
+    counts = np.zeros((2, scoring.DIMS))
+    for text, lang in texts * 5:
+        if text and lang:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            counts[int(lang == "y")] += scoring.class_counts(raw, np.array([0, len(raw)]))[0]
+    share = counts.sum(0) / counts.sum()
+    assert np.allclose(np.exp(got).sum(0), 1) and np.allclose(np.exp(got.T), (counts + 20 * share + 0.01) / (counts.sum(1, keepdims=True) + 20 + 0.01 * scoring.DIMS))
+    rare = docs.select("text", F.lit("en").alias("lang")).unionByName(spark.createDataFrame([("qxqx wkwk", "rare")], "text string, lang string"))
+    model = scoring.fit_classes(rare)
+    raw = np.frombuffer(b"qxqx wkwk", np.uint8)
+    assert model.shape[1] == 2 and scoring.classify(model, raw, np.array([0, len(raw)]))[0] == 1
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scores = lambda df: {r.doc_id: round(r.score, 6) for r in scoring.score_documents(df).collect()}
+    assert scores(docs) == scores(docs.withColumn("lang", F.when(held, "zz").otherwise(F.col("lang"))))
+    assert all(np.isfinite(v) for v in scores(docs.drop("lang")).values())
+
+
 # 2
 
 
