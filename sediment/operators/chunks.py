@@ -163,6 +163,26 @@ def decrypt(column: Column, key: Column) -> Column:
     return F.try_aes_decrypt(column, key, F.lit("GCM"))
 
 
+def pack(column: Column, spec: str = "zstd:3", key: bytes = b"") -> Column:
+    """Data as a store keeps them: compressed, and encrypted where there is a key."""
+    packed = compress(column, spec)
+    return encrypt(packed, F.lit(key)) if key else packed
+
+
+def _decompress_or_none(packed: bytes) -> bytes | None:
+    import zstandard
+
+    try:
+        return decompress_bytes(packed)
+    except (ValueError, OSError, zstandard.ZstdError):
+        return None
+
+
+def unpack(column: Column, key: bytes = b"") -> Column:
+    """What `pack` was given; null where the key is wrong or the data were changed so that they can't be read."""
+    return _mapped(_decompress_or_none, decrypt(column, F.lit(key)) if key else column)
+
+
 # Set operations of a store.
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions import scalars
 from .operators import chunks as ck
-from .operators import htree, index, oplog, querylang
+from .operators import htree, index, oplog, querylang, sendlog
 
 TABLES = {"oplog": schemas.OPLOG, "items": schemas.ITEMS, "removed": schemas.ITEMS, "chunks": schemas.CHUNKS, "htree": schemas.HTREE_NODES, "index_entries": schemas.INDEX_ENTRIES}
 MAX_TAG_BYTES = 32 * 1024
@@ -62,6 +62,8 @@ class Key:
     primary_key_id: str | None = None
     seed: bytes = b"sediment"
     address_key: bytes = b""
+    #: 16, 24 or 32 bytes; without them chunks are stored in clear.
+    data_key: bytes = b""
     can_put: bool = True
     can_list: bool = True
     can_list_contents: bool = True
@@ -73,7 +75,7 @@ class Key:
 
     def sub_key(self, put: bool = False, list_: bool = False, list_contents: bool = False, get: bool = False) -> Key:
         """A key with some of these capabilities: getting and listing contents include listing."""
-        return Key(uuid.uuid4().hex, self.primary, self.seed, self.address_key, put and self.can_put, (list_ or list_contents or get) and self.can_list, (list_contents or get) and self.can_list_contents, get and self.can_get)
+        return Key(uuid.uuid4().hex, self.primary, self.seed, self.address_key, self.data_key if put or get else b"", put and self.can_put, (list_ or list_contents or get) and self.can_list, (list_contents or get) and self.can_list_contents, get and self.can_get)
 
     def save(self, path: str) -> None:
         body = {k: (v.hex() if isinstance(v, bytes) else v) for k, v in self.__dict__.items()}
@@ -90,7 +92,7 @@ class Key:
                 raise ValueError("the key file is cut short")
             text = base64.b64decode(text.removeprefix(PEM[0]).removesuffix(PEM[1])).decode()
         body = json.loads(text)
-        return Key(**{k: (bytes.fromhex(v) if k in ("seed", "address_key") else v) for k, v in body.items()})
+        return Key(**{k: (bytes.fromhex(v) if k in ("seed", "address_key", "data_key") else v) for k, v in body.items()})
 
 
 def checked_ids(ids: list[str]) -> list[str]:
@@ -113,7 +115,10 @@ def default_name(paths: list[str]) -> str:
 
 
 class Repository:
-    def __init__(self, spark: SparkSession, path: str, permissions: frozenset[str] | set[str] = ALL, key: Key | None = None):
+    def __init__(self, spark: SparkSession, path: str, permissions: frozenset[str] | set[str] = ALL, key: Key | None = None, compression: str = "zstd:3", send_log: str | None = None):
+        """send_log: a folder of this client's own, in which it keeps what it knows to be stored."""
+        ck.parse_compression(compression)
+        self.compression, self.send_log = compression, send_log
         self.spark, self.path, self.permissions, self.key = spark, path.removeprefix("file:").replace("//", "/", 1) if path.startswith("file:") else path, allowed(permissions), key or Key()
         self._pointer = os.path.join(self.path, "current.json")
 
@@ -187,8 +192,14 @@ class Repository:
     # Adding.
 
     def _store(self, state: dict, item: str, kind: str, pieces: DataFrame) -> tuple[dict, dict]:
-        """Store chunks (pos, address, data, n_bytes) and their tree; (tree, flush statistics)."""
-        fresh = self._append(state, "chunks", ck.new_chunks(pieces.select("address", "data", "n_bytes"), self.table("chunks", state)))
+        """Store chunks (pos, address, data, n_bytes) and their tree; (tree, flush statistics).
+
+        What the send log holds isn't offered; of the rest, what the store lacks is compressed, encrypted and written."""
+        offered = pieces.select("address", "data", "n_bytes")
+        if self.send_log:
+            offered = sendlog.unsent(offered, self._known(state))
+        fresh = ck.new_chunks(offered, self.table("chunks", state))
+        fresh = self._append(state, "chunks", fresh.withColumn("data", ck.pack(F.col("data"), self.compression, self.key.data_key)))
         stats = ck.flush_stats(fresh).first().asDict()
         edges = htree.build(pieces.select(F.lit(f"{item}/{kind}").alias("tree_id"), "pos", "address"))
         rows = edges.collect()  # edges of one new tree: one for each chunk and node
@@ -200,6 +211,30 @@ class Repository:
             self._append(state, "htree", new)
         return {"address": top.child, "height": top.height, "data_chunk_count": top.leaf_count}, stats
 
+    def _known(self, state: dict) -> DataFrame:
+        """Rows of the send log that still hold: those of the store's generation, or of the log's item if the store has it."""
+        names = sorted(os.listdir(self.send_log)) if os.path.isdir(self.send_log) else []
+        if not names:
+            return self.spark.createDataFrame([], schemas.SENT)
+        log = self.spark.read.schema(schemas.SENT).parquet(os.path.join(self.send_log, names[-1]))
+        last = log.select("item_id").first()
+        kept = last.item_id if last and not self.table("items", state).where(F.col("item_id") == last.item_id).isEmpty() else None
+        return sendlog.invalidate(log, state["generation"], kept)
+
+    def _remember(self, state: dict, item: dict) -> None:
+        """The send log after a put: the addresses of the item's trees."""
+        if not self.send_log:
+            return
+        tops = self._tops(self.spark.createDataFrame([item], schemas.ITEMS))
+        seen = htree.reachable(tops, self.table("htree", state)).join(self.table("chunks", state).select("address"), "address", "left_semi")
+        log = sendlog.commit(sendlog.touch(self._known(state), seen, "address", state["generation"], item["item_id"]), item["item_id"], item["item_id"])
+        names = sorted(os.listdir(self.send_log)) if os.path.isdir(self.send_log) else []
+        part = os.path.join(self.send_log, f"{time.time_ns():020d}")
+        log.write.parquet(part + ".tmp")
+        os.rename(part + ".tmp", part)
+        for name in names:
+            shutil.rmtree(os.path.join(self.send_log, name))
+
     def _add_item(self, state: dict, item: dict) -> None:
         if not self.find_item(item["item_id"], state).isEmpty():
             raise ValueError("the item exists")
@@ -225,7 +260,9 @@ class Repository:
         with self._locked() as state:
             pieces = ck.chunk_streams(stream, self.key.seed, self.key.address_key, **sizes)
             tree, self.last_stats = self._store(state, item["item_id"], "data", pieces)
-            self._add_item(state, item | {"data_size": len(data), "index_size": 0, "data_tree": tree, "index_tree": None})
+            item |= {"data_size": len(data), "index_size": 0, "data_tree": tree, "index_tree": None}
+            self._add_item(state, item)
+        self._remember(state, item)
         return item["item_id"]
 
     def put_file(self, path: str, tags: dict[str, str] | None = None, **more) -> str:
@@ -285,7 +322,9 @@ class Repository:
             encoded = json.dumps([{k: v for k, v in o.items() if k not in ("path_bytes", "xattrs")} for o in out]).encode()
             stream = self.spark.createDataFrame([(item["item_id"], bytearray(encoded))], "stream_id string, data binary")
             index_tree, _ = self._store(state, item["item_id"], "index", ck.chunk_streams(stream, self.key.seed, self.key.address_key, **sizes))
-            self._add_item(state, item | {"data_size": len(data), "index_size": len(encoded), "data_tree": tree, "index_tree": index_tree})
+            item |= {"data_size": len(data), "index_size": len(encoded), "data_tree": tree, "index_tree": index_tree}
+            self._add_item(state, item)
+        self._remember(state, item)
         return item["item_id"]
 
     # Reading.
@@ -345,7 +384,7 @@ class Repository:
             raise NotPermitted("this key can't get")
         item = self.one(query)
         if item["index_tree"] is None or not pick:
-            pieces = ck.fetch(self._leaves(item["data_tree"]), self.table("chunks")).toLocalIterator()
+            pieces = self._fetch(self._leaves(item["data_tree"])).toLocalIterator()
             data = b"".join(self._checked(r) for r in pieces)
             if len(data) != item["data_size"]:
                 raise ValueError("the data has another length than was recorded")
@@ -367,7 +406,7 @@ class Repository:
     def _bodies(self, item: dict, entries: DataFrame, own: Column) -> Callable:
         """The bytes of an entry (first_chunk, data_cursor), from the chunks alone that hold the entries `own`: other sub-trees aren't walked, other chunks aren't read."""
         ranges = index.chunk_ranges(entries, selected=own).select(F.lit("t").alias("tree_id"), "start_idx", "end_idx")
-        found = ck.fetch(self._leaves(item["data_tree"], ranges), self.table("chunks")).toLocalIterator()
+        found = self._fetch(self._leaves(item["data_tree"], ranges)).toLocalIterator()
         held = {r.pos: self._checked(r) for r in found}  # what was asked for, and the rest of its chunks
         self.last_fetched = len(held)
 
@@ -382,6 +421,9 @@ class Repository:
 
         return body
 
+    def _fetch(self, leaves: DataFrame) -> DataFrame:
+        return ck.fetch(leaves, self.table("chunks")).withColumn("data", ck.unpack(F.col("data"), self.key.data_key))
+
     def _checked(self, row) -> bytes:
         data = bytes(row.data) if row.data is not None else None
         if data is None or ck.address_of(data, self.key.address_key) != row.address:
@@ -577,7 +619,8 @@ class Repository:
     def verify(self) -> DataFrame:
         """(kind, address) of chunks and nodes that don't hash to their addresses, and of leaves that are missing."""
         key = self.key.address_key
-        bad = self.table("chunks").where(scalars.content_address(F.col("data"), key or None) != F.col("address")).select(F.lit("chunk").alias("kind"), "address")
+        plain = ck.unpack(F.col("data"), self.key.data_key)
+        bad = self.table("chunks").where(F.coalesce(scalars.content_address(plain, key or None) != F.col("address"), F.lit(True))).select(F.lit("chunk").alias("kind"), "address")
         torn = htree.verify(self.table("htree")).select(F.lit("node").alias("kind"), F.col("parent").alias("address"))
         edges = self.table("htree").select("parent").distinct()
         known = self.table("chunks").select("address").unionByName(edges.toDF("address"))
