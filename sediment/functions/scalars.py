@@ -68,10 +68,15 @@ def format_timestamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy/MM/dd HH:mm:ss")
 
 
-def path_key(path: Column) -> Column:
-    """A sort key: the root first, files and directories of a directory before what is below them, components bytewise."""
+def components_key(path: Column) -> Column:
+    """A sort key: files and directories of a directory before what is below them, components bytewise."""
     parts = F.split(path, "/")
-    key = F.transform(parts, lambda c, i: F.struct((i < F.size(parts) - 1).alias("below"), c.cast("binary").alias("name")))
+    return F.transform(parts, lambda c, i: F.struct((i < F.size(parts) - 1).alias("below"), c.cast("binary").alias("name")))
+
+
+def path_key(path: Column) -> Column:
+    """The key of a path in an index, where the root comes first."""
+    key = components_key(path)
     return F.when(path == ".", F.slice(key, 1, 0)).otherwise(key)
 
 

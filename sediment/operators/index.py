@@ -68,6 +68,27 @@ def in_listing_order(entries: DataFrame, *more: str) -> DataFrame:
     return entries.orderBy(path_key(F.col("path")), *more)
 
 
+def with_places(rows: DataFrame, key: Column, unique: Column, place: str = "place", ranges: int = 256) -> DataFrame:
+    """rows with their place by `key`, from 1, nulls last; `unique` names a row and breaks ties.
+
+    Bounds cut the keys into ranges; the rank within a range and the sizes of those before it need no single task. A row's
+    range follows from its key and from the rows' hashes alone, so every reading of the rows agrees on it, whatever the
+    layout, a retry or a changed plan. The bounds come from the few rows with the least hashes and only balance the ranges.
+    """
+    keyed = rows.withColumn("_key", key).withColumn("_unique", unique)
+    bounds = keyed.where("_key IS NOT NULL").orderBy(F.xxhash64("_unique"), "_unique").limit(ranges - 1).agg(F.sort_array(F.collect_list("_key")).alias("_bounds"))
+
+    def search(low: Column, step: Column) -> Column:
+        return F.when(F.get("_bounds", low + step - 1) <= F.col("_key"), low + step).otherwise(low)
+
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range((ranges - 1).bit_length()))))
+    own = keyed.crossJoin(F.broadcast(bounds)).withColumn("_range", F.when(F.col("_key").isNull(), ranges).otherwise(F.aggregate(steps, F.lit(0), search))).drop("_bounds")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = own.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("_key").asc_nulls_last(), "_unique"))
+    return own.withColumn(place, rank).join(F.broadcast(sizes), "_range").withColumn(place, F.col(place) + F.col("_before")).drop("_key", "_unique", "_range", "_before")
+
+
 def below(path: Column, root: str) -> Column:
     """If a path is the root or lies below it."""
     root = root.rstrip("/")
