@@ -1,29 +1,26 @@
-"""Language-model scoring by online logistic context mixing over the bits of words.
+"""Language-model scoring by online logistic context mixing over the bits of texts.
 
-A text is its words (A-Z lower-cased), then one end, and belongs to a class z. With D = DISCOUNT, N and V the training words and distinct ones (of a class with an index z), c a word's
-training count, and e the share of ends among training tokens,
+A text is its words (A-Z lower-cased), each with a blank behind, then one end, and belongs to a class z. Its score is
 
-    P(text) = P(z) * e * product over words of (1 - e) * P_z(word)
-    P_z(word) = max(c_z - D, 0) / N_z + D * V_z / N_z * P(word)
-    P(word) = max(c - D, 0) / N + D * V / N * P_spell(word | z),
+    log10 P(text) = log10 P(z) + sum over the bits of all these bytes, in their order, of log10 P(bit | bits before it),
 
-so the score is a lower bound of the log probability of the text under the mixture of classes. The classes are the
+so it is a lower bound of the log probability of the text under the mixture of classes. The classes are the
 languages (column lang) of the training texts, each with the trigram counts of all its training texts; z is the
 likeliest one by the text's own trigrams alone. Without languages all texts are of one class; texts without one are
 learned from as the class that their trigrams tell. More than MAX_CLASSES languages are an error.
 
-P_spell predicts the bits of a word's bytes and of the blank behind it. Hashed contexts (the place in the
-word, and its last 1, 2, 3 and 4 bytes, each with the bits so far, the shorter ones with z) hold counts of zeros
-and ones over all distinct training words of each class. Their log-odds are added with weights from a set that is
-gated by how often the longest context was seen and by the place of the bit; weights are learned online, step by
-step, by the gradient of the coding cost, in each of some parts of the words in the order of a hash, and then averaged. An adaptive table over the last
-byte and the mixed log-odds refines the result. While learning, each word is left out of its own counts.
+Hashed contexts (the last 1, 2, 3 and 4 bytes, the shorter ones with z; the word so far; the word so far and the word
+before it; each with the bits of the byte so far) hold counts of zeros and ones. Their log-odds are added with weights
+from a set that is gated by how often the two word contexts were seen and by the place of the bit. An adaptive table
+over the last byte and the mixed log-odds refines the result.
 
-All counts are over all training texts. Words are scored once for each class. The TOP most frequent ones (a bound
-of some MB) go to the tasks that read the texts; all others are joined.
+Learning is online, over the whole running text of all training texts: a step predicts its bits from what was seen
+before it, moves the weights by the gradient of the coding cost, and only then adds its bits to the adaptive table and
+to the counts. Texts are dealt by hash to parts of about PART_BYTES, and learned from in the order of a hash in each;
+then counts and adaptive tables are added up, and weights averaged. Scoring reads what was learned and changes nothing.
 
 Defined results: a null text is empty, and an empty text is one end of class 0; a null doc_id is not held out;
-without training texts the counts are 0 and only spelling is left; repeated rows are scored one by one and count as
+without training texts the counts are 0 and each bit is one half; repeated rows are scored one by one and count as
 often as they occur; other columns are ignored.
 """
 
@@ -36,22 +33,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, mix, slices, table, text_buffers, texts_of, word_hashes, word_spans
+from .common import LOWER, materialize, powers, slices, table, text_buffers, texts_of, word_hashes, word_spans
 from .language import remainder, trigrams
 
-DISCOUNT = 0.75
 TOP = 1 << 18
-#: Predictors, and the largest table of one, as a power of two: a model takes at most 24 MB, whatever the input.
-PREDICTORS, TOP_BITS = 5, 22
-RATE = 0.05
-STEP_BYTES = 1 << 11
+#: Predictors, and the largest table of one, as a power of two.
+PREDICTORS, TOP_BITS = 6, 22
+RATE = 0.02
+#: Bytes to a step of learning, and to a pass of scoring.
+STEP_BYTES, PASS_BYTES = 1 << 12, 1 << 13
 GATES = 16 * 8
 APM = 256 * 33
 CHUNKS = 32
-#: Distinct words to a part of the training, and the most parts.
-PART_WORDS, MOST_PARTS = 1 << 18, 256
+#: Bytes of texts to a part of the training, and the most parts.
+PART_BYTES, MOST_PARTS = 1 << 26, 256
 MAX_CLASSES, DIMS = 1 << 10, 1 << 12
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+BLANK, END = 0x20, 0x0A
+_MUL, _MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_PLACE = np.arange(4)[:, None]
+#: For each place of a bit, high ones first, and each byte: the bit, and the bits of the half byte before it, below a leading one.
+BITS = (np.arange(256) >> (7 - np.arange(8)[:, None])) & 1
+NODES = np.concatenate([(1 << _PLACE) | (half >> (4 - _PLACE)) for half in (np.arange(256) >> 4, np.arange(256) & 15)])
 
 
 def class_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -97,239 +99,276 @@ def classify(model: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair_names(words: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each word in its class."""
-    return mix(words ^ mix(z.astype(np.uint64) + np.uint64(0x1234567)))
+def token_text(raw: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is predicted of some texts with these words: the words, each with a blank behind, and an end; and where each text begins."""
+    sizes = ends - starts + 1
+    begin = np.zeros(len(at), np.int64)
+    total = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=total[1:])
+    begin[:] = total[first] + np.arange(len(at))
+    to = total[:-1] + np.repeat(np.arange(len(at) - 1), np.diff(first))
+    out = np.full(begin[-1], BLANK, np.uint8)
+    if len(starts):
+        inside = np.repeat(starts - (total[:-1] - np.arange(len(starts))), sizes - 1) + np.arange(total[-1] - len(starts))
+        out[inside + np.repeat(to - starts, sizes - 1)] = LOWER[raw[inside]]
+    out[begin[1:] - 1] = END
+    return out, begin
 
 
-def byte_contexts(words: np.ndarray, at: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context numbers (one row for each predictor) of all bytes of `words`, and the byte before each in its word (0: none)."""
-    n = len(words)
-    place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-    last = np.zeros((5, n), np.uint64)
-    for k in range(1, 5):
-        last[k, k:] = np.where(place[k:] >= k, words[:-k], 0)
-    mixed = last[1].copy()
-    kind = np.repeat(z, np.diff(at)).astype(np.uint64) << np.uint64(56)
-    rows = [np.minimum(place, 15).astype(np.uint64) * np.uint64(257) + np.uint64(11) + kind, mixed + np.uint64(1 << 20) + kind]
-    for k in range(2, 5):
-        mixed = mixed * np.uint64(257) + last[k]
-        rows.append(mixed + np.uint64(k << 50) + (kind if k < 4 else np.uint64(0)))
-    return np.stack(rows), last[1].astype(np.int64)
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words, each with a blank behind, and where they begin."""
+    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum([len(w) + 1 for w in words], out=at[1:])
+    return raw, at
 
 
-def table_bits(words: int) -> tuple[int, ...]:
-    """Slots of each predictor, as powers of two, for a number of distinct training words."""
-    top = min(TOP_BITS, max(16, int(words).bit_length() + 3))
-    return (14, 15, top - 3, top - 2, top)
+def byte_contexts(raw: np.ndarray, at: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context numbers (one row for each predictor) of all bytes of some texts, and the byte before each in its text (0: none)."""
+    n = len(raw)
+    index = np.arange(n)
+    begin = np.repeat(at[:-1], np.diff(at))
+    place = index - begin
+    rows = np.empty((PREDICTORS, n), np.uint64)
+    kind = np.repeat(z.astype(np.uint64) << np.uint64(54), np.diff(at))
+    mixed, before = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for k in range(1, 5):
+        last = np.zeros(n, np.uint64)
+        last[k:] = raw[:-k]
+        last[place < k] = 0
+        mixed = mixed * np.uint64(257) + last
+        np.add(mixed, np.uint64(k << 50), out=rows[k - 1])
+        if k < 4:
+            rows[k - 1] += kind
+        if k == 1:
+            before = last.astype(np.int64)
+    # The word so far: a window of a sum of bytes times powers, as in word_hashes.
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    opens = np.zeros(n, bool)
+    opens[1:] = raw[:-1] == BLANK
+    opens[at[:-1][np.diff(at) > 0]] = True
+    start = np.flatnonzero(opens)
+    word = np.cumsum(opens) - 1
+    whole = (total[np.append(start[1:], n)] - total[start]) * down[start]
+    previous = np.zeros(len(start), np.uint64)
+    previous[1:] = np.where(place[start[1:]] > 0, whole[:-1], 0)
+    rows[4] = (total[:n] - total[start][word]) * down[start][word] + np.uint64(5)
+    rows[5] = rows[4] * _MUL2 + (previous ^ (previous >> np.uint64(31)))[word] * _MUL + np.uint64(7)
+    return rows, before
+
+
+def table_bits(size: int) -> tuple[int, ...]:
+    """Slots of each predictor, as powers of two, for so many bytes of training texts."""
+    top = min(TOP_BITS, max(16, int(size).bit_length() + 1))
+    return (min(top, 18), min(top, 20), top - 1, top, top, top)
 
 
 def bit_slots(contexts: np.ndarray, words: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each predictor for all bits (byte by byte, high bits first), and the bits."""
-    shift = np.arange(8)
-    value = words.astype(np.int64)[:, None]
-    node = ((1 << shift) | (value >> (8 - shift))).astype(np.uint64)
-    bits = ((value >> (7 - shift)) & 1).ravel()
-    slots, base = np.empty((len(sizes), len(bits)), np.int64), 0
+    """Slots of each predictor for all bits (the first bits of all bytes, then the second ones, and so on), and the bits. Half a byte's slots lie together."""
+    n = len(words)
+    nodes = np.take(NODES, words, 1)
+    high = ((words >> 4).astype(np.uint64) + np.uint64(1)) * _MUL
+    slots, base = np.empty((len(sizes), 8, n), np.int64), 0
     for k, size in enumerate(sizes):
-        h = (contexts[k][:, None] * np.uint64(256) + node) * _MUL
+        h = contexts[k] * _MUL
         h ^= h >> np.uint64(29)
-        slots[k] = base + ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - size)).astype(np.int64).ravel()
+        for part, own in ((0, h), (4, h + high)):
+            own = own * _MUL2
+            own ^= own >> np.uint64(32)
+            own *= _MUL
+            own >>= np.uint64(68 - size)
+            own <<= np.uint64(4)
+            own += np.uint64(base)
+            np.add(own.view(np.int64), nodes[part : part + 4], out=slots[k, part : part + 4])
         base += 1 << size
-    return slots, bits
+    return slots.reshape(len(sizes), 8 * n), np.take(BITS, words, 1).ravel()
 
 
 def new_model(sizes: tuple[int, ...], counts: np.ndarray) -> dict:
     return {"sizes": sizes, "counts": counts, "weights": np.full((GATES, PREDICTORS + 1), 0.3) * np.array([1] * PREDICTORS + [0]), "apm": np.zeros((APM, 2))}
 
 
-def mixed_odds(model: dict, slots: np.ndarray, bits: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, gates, log-odds of a one) for all bits; left_out: without the word's own counts."""
-    inputs = np.empty((PREDICTORS + 1, len(bits)))
-    inputs[-1] = 0.3
-    own = np.stack([1 - bits, bits], 1).astype(np.float32) if left_out else None
-    for k in range(PREDICTORS):
-        n = model["counts"][slots[k]].astype(np.float32)
-        if left_out:
-            n = np.maximum(n - own, 0)
-        inputs[k] = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
-    seen = np.minimum(np.frexp(n.sum(1))[1].clip(0), 15)
-    gates = seen * 8 + np.tile(np.arange(8), len(bits) // 8)
-    return inputs, gates, np.einsum("kn,nk->n", inputs, model["weights"][gates])
+def log_odds(n: np.ndarray) -> np.ndarray:
+    """Of counts of zeros and ones."""
+    n = n.astype(np.float32)
+    n += np.float32(0.4)
+    return np.log(n[:, 1] / n[:, 0])
 
 
-def apm_rows(odds: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return np.repeat(before, 8) * 33 + np.clip(np.rint(odds * 2), -16, 16).astype(np.int64) + 16
+def levels(n: np.ndarray) -> np.ndarray:
+    """0 to 3: how often a context was seen."""
+    n = n[:, 0].astype(np.int64) + n[:, 1]
+    return (n > 0).view(np.uint8) + (n > 2).view(np.uint8) + (n > 15).view(np.uint8)
 
 
-def refined(model: dict, odds: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """P(one): the mean of the mixed probability and what the adaptive table saw where the mix said so."""
-    p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    seen = model["apm"][apm_rows(odds, before)]
-    return (p + (seen[:, 1] + 20 * p) / (seen.sum(1) + 20)) / 2
-
-
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all words, each with a blank behind, and where they begin."""
-    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    at = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) + 1 for w in words], out=at[1:])
-    return raw, at
+def mixed_odds(model: dict, slots: np.ndarray, bits: np.ndarray, keep: bool) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """(inputs, gates, log-odds of a one) for all bits, from the counts, or from `odds` and `levels` where they were worked out; inputs only if `keep`."""
+    n = len(bits)
+    inputs = np.empty((PREDICTORS + 1, n), np.float32)
+    inputs[-1] = 0.3
+    gates = np.zeros(n, np.int64)
+    pairs = None if model["counts"] is None else model["counts"].view(f"u{2 * model['counts'].itemsize}").ravel()
+    for k in range(PREDICTORS):
+        if pairs is None:
+            np.take(model["odds"], slots[k], out=inputs[k], mode="clip")
+            seen = model["levels"][slots[k] - model["level_base"]] if k >= PREDICTORS - 2 else None
+        else:
+            own = pairs[slots[k]].view(model["counts"].dtype).reshape(-1, 2)
+            inputs[k] = log_odds(own)
+            seen = levels(own) if k >= PREDICTORS - 2 else None
+        if seen is not None:
+            gates = gates * 4 + seen
+    gates = (gates.reshape(8, -1) * 8 + np.arange(8)[:, None]).ravel()
+    odds = np.zeros(n, np.float32)
+    for k, weights in enumerate(model["weights"].T.astype(np.float32)):
+        odds += inputs[k] * weights[gates]
+    return inputs if keep else None, gates, np.clip(odds, -30, 30, out=odds)
 
 
-def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(batch, first row, end row, bytes, begins, classes) of about 32 kB of words (word, z, ...) at a time, however they came in batches."""
+def apm_rows(odds: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return np.tile(before * 33 + 16, 8) + np.clip(np.rint(odds * 2), -16, 16).astype(np.int64)
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= 1 << 14:
-                whole = pa.concat_batches(held)
-                for at in range(0, n - n % 4096, 4096):
-                    yield whole.slice(at, 4096)
-                held, n = [whole.slice(n - n % 4096)], n % 4096
-        whole = pa.concat_batches(held) if held else None
-        for at in range(0, n, 4096):
-            yield whole.slice(at, 4096)
-
-    for batch in rows():
-        raw, at = text_buffers(batch.column(0))
-        z = batch.column(1).to_numpy()
-        text = raw.tobytes()
-        for i, j in slices(at, 1 << 15):
-            own, begin = spelled([text[at[k] : at[k + 1]] for k in range(i, j)])
-            yield batch, i, j, own, begin, z[i:j]
-
-
-def _counter(sizes: tuple[int, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(sum(1 << b for b in sizes) * 2, np.float32)
-        for _, _, _, raw, at, z in _word_batches(batches):
-            contexts, _ = byte_contexts(raw, at, z)
-            for a in range(0, len(raw), 1 << 15):
-                slots, bits = bit_slots(contexts[:, a : a + (1 << 15)], raw[a : a + (1 << 15)], sizes)
-                for k in range(PREDICTORS):
-                    np.add.at(counts, slots[k] * 2 + bits, np.float32(1))
-        used = np.flatnonzero(counts)
-        chunk = used % CHUNKS
-        for c in range(CHUNKS):
-            own = used[chunk == c]
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own.astype(np.uint32).tobytes()], pa.binary()), pa.array([counts[own].astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "at", "n"])
-
-    return run
-
-
-def _adder(sizes: tuple[int, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, at, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if c not in sums:
-                    sums[c] = np.zeros(2 * sum(1 << b for b in sizes) // CHUNKS + 1, np.int64)
-                sums[c][np.frombuffer(at, np.uint32) // CHUNKS] += np.frombuffer(n, np.uint32)
-        for c, total in sums.items():
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([(used * CHUNKS + c).astype(np.uint32).tobytes()], pa.binary()), pa.array([np.minimum(total[used], 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "at", "n"])
 
-    return run
+def refined(model: dict, odds: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """P(one): the mean of the mixed probability and what the adaptive table saw where the mix said so; never nearer to 0 or 1 than 2^-20."""
+    p = 1 / (1 + np.exp(-odds))
+    rows = apm_rows(odds, before)
+    zeros, ones = model["apm"].T.astype(np.float32)
+    ones, both = ones[rows], (zeros + ones + np.float32(20))[rows]
+    return np.clip((p + (ones + 20 * p) / both) / 2, 2**-20, 1 - 2**-20)
 
 
 def learn(model: dict, raw: np.ndarray, at: np.ndarray, z: np.ndarray) -> int:
-    """Online steps of the weights and the adaptive table over some words; returns the bits seen."""
+    """Online steps over some texts: predict, then learn weights, adaptive table and counts; returns the bits seen."""
     contexts, before = byte_contexts(raw, at, z)
-    weights, apm = model["weights"], model["apm"]
+    weights, apm, counts = model["weights"], model["apm"], model["counts"].ravel()
+    one = counts.dtype.type(1)
     for a in range(0, len(raw), STEP_BYTES):
         part = slice(a, a + STEP_BYTES)
         slots, bits = bit_slots(contexts[:, part], raw[part], model["sizes"])
         inputs, gates, odds = mixed_odds(model, slots, bits, True)
-        gap = bits - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        gap = (bits - 1 / (1 + np.exp(-odds))).astype(np.float32)
         seen = np.maximum(np.bincount(gates, minlength=GATES), 64)
         for k in range(PREDICTORS + 1):
             weights[:, k] += RATE * 8 * np.bincount(gates, gap * inputs[k], minlength=GATES) / seen
-        np.add.at(apm, (apm_rows(odds, before[part]), bits), 1)
+        apm += np.bincount(apm_rows(odds, before[part]) * 2 + bits, minlength=2 * APM).reshape(APM, 2)
+        slots *= 2
+        slots += bits
+        for k in range(PREDICTORS):
+            np.add.at(counts, slots[k], one)
     return len(raw) * 8
 
 
-def train(vocabulary: DataFrame, distinct: int):
-    """The spelling model of the distinct training words of each class (word binary, z): its counts, as a broadcast, and what was learned beside them."""
-    spark, sizes = vocabulary.sparkSession, table_bits(distinct)
-    # Parts and their order follow from the words alone, so that any layout of the rows gives one model; hashes mix the
-    # order, as steps over words with one beginning would pull the weights after them.
-    words = vocabulary.select("word", "z").repartition(max(2, min(MOST_PARTS, distinct // PART_WORDS)), "word", "z").sortWithinPartitions(F.xxhash64("word", "z"), "word", "z")
-    schema = "chunk int, at binary, n binary"
-    counts = np.zeros(sum(1 << b for b in sizes) * 2, np.uint32)
-    for row in materialize(words.mapInArrow(_counter(sizes), schema).repartition(CHUNKS, "chunk").mapInArrow(_adder(sizes), schema)).toLocalIterator():  # at most 8 bytes a count, chunk by chunk
-        counts[np.frombuffer(row["at"], np.uint32)] = np.frombuffer(row["n"], np.uint32)
-    counts = counts.reshape(-1, 2)
-    # 16 bits are enough: large pairs are scaled down together, what was seen stays seen.
-    counts = np.maximum(counts // np.maximum(1, (counts.max(1, keepdims=True) + np.uint32(65534)) // np.uint32(65535)), counts > 0).astype(np.uint16)
-    sent = spark.sparkContext.broadcast(counts)
+def bit_costs(model: dict, raw: np.ndarray, at: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each of some texts."""
+    contexts, before = byte_contexts(raw, at, z)
+    cost = np.empty(len(raw))
+    for a in range(0, len(raw), PASS_BYTES):
+        part = slice(a, a + PASS_BYTES)
+        slots, bits = bit_slots(contexts[:, part], raw[part], model["sizes"])
+        p = refined(model, mixed_odds(model, slots, bits, False)[2], before[part])
+        cost[part] = np.log10(np.abs(1 - bits.astype(np.float32) - p)).reshape(8, -1).sum(0, dtype=np.float64)
+    return np.add.reduceat(cost, at[:-1]) if len(at) > 1 else np.zeros(0)
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        own = new_model(sizes, sent.value)
-        n = sum(learn(own, raw, at, z) for _, _, _, raw, at, z in _word_batches(batches))
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([own["weights"].tobytes()], pa.binary()), pa.array([own["apm"].tobytes()], pa.binary())], names=["part", "n", "weights", "apm"])
+def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, begins) of groups of texts (column 0) of bounded size, which are the same however the texts came in batches."""
+    held = None
+    for batch in batches:
+        column = batch.column(0) if held is None else pa.concat_arrays([held, batch.column(0)])
+        raw, at = text_buffers(column)
+        *groups, (i, _) = list(slices(at)) or [(0, 0)]
+        for a, b in groups:
+            yield raw[at[a] : at[b]], at[a : b + 1] - at[a]
+        held = column.slice(i)
+    if held is not None and len(held):
+        yield text_buffers(held)
 
-    total, model = 0, new_model(sizes, None)
-    weights = np.zeros_like(model["weights"])
-    for row in materialize(words.mapInArrow(fit, "part int, n long, weights binary, apm binary")).orderBy("part").toLocalIterator():  # 150 kB a part, of MOST_PARTS at most
-        weights += row["n"] * np.frombuffer(row["weights"]).reshape(weights.shape)
-        model["apm"] += np.frombuffer(row["apm"]).reshape(APM, 2)
-        total += row["n"]
-    if total:
-        model["weights"] = weights / total
-    return sent, model
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers with equal bytes of all of them together, which compresses."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
 
-def spell_scores(vocabulary: DataFrame, sent, model: dict) -> DataFrame:
-    """vocabulary with `spell`, the log10 of P_spell(word)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model | {"counts": sent.value}
-        for batch, i, j, raw, at, z in _word_batches(batches):
-            contexts, before = byte_contexts(raw, at, z)
-            cost = np.empty(len(raw))
-            for a in range(0, len(raw), 1 << 15):
-                part = slice(a, a + (1 << 15))
-                slots, bits = bit_slots(contexts[:, part], raw[part], own["sizes"])
-                p = refined(own, mixed_odds(own, slots, bits, False)[2], before[part])
-                cost[part] = np.log10(np.maximum(np.where(bits == 1, p, 1 - p), 1e-12)).reshape(-1, 8).sum(1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(1, 6)), pa.array(np.add.reduceat(cost, at[:-1]))], names=["z", "g", "h", "n", "n_all", "spell"])
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def train(texts: DataFrame, size: int, classes: np.ndarray) -> dict:
+    """The model of all of (doc_id, text), of so many bytes together."""
+    sizes = table_bits(size)
+    slots, parts = sum(1 << b for b in sizes), max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
+    width = -(-slots // CHUNKS)
+    level_base = sum(1 << b for b in sizes[:-2])
+    sent = texts.sparkSession.sparkContext.broadcast(classes)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    return vocabulary.select("word", "z", "g", "h", "n", "n_all").mapInArrow(run, "z int, g long, h long, n long, n_all long, spell double")
+        own, bits = new_model(sizes, np.zeros((slots, 2), np.uint32)), 0
+        kinds = np.zeros(classes.shape[1], np.int64)
+        for raw, at in _text_groups(batches):
+            z = classify(sent.value, LOWER[raw], at)
+            kinds += np.bincount(z, minlength=len(kinds))
+            bits += learn(own, *token_text(raw, at, *word_spans(raw, at)), z)
+        if not bits:
+            return
+        part = TaskContext.get().partitionId()
+        rows = [(-1, part, bits, own["weights"].tobytes(), own["apm"].tobytes(), kinds.tobytes())]
+        for c in range(-1, CHUNKS):
+            if c >= 0:
+                rows = [(c, part, bits, _planes(own["counts"][c * width : (c + 1) * width].ravel()), b"", b"")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "part", "n", "a", "b", "c"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = _unplaned(data.as_py()).astype(np.int64)
+                sums[c] = sums[c] + n if c in sums else n
+        for c, n in sums.items():
+            n = n.reshape(-1, 2)
+            seen = levels(n)[max(0, level_base - c * width) :]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([log_odds(n).astype(np.float16).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["chunk", "odds", "levels"])
+
+    # Parts and their order follow from the rows alone, so that any layout gives one model; equal rows can stand for each other.
+    key = F.xxhash64("doc_id", "text")
+    dealt = texts.select("doc_id", "text", key.alias("key")).repartition(parts, "key").sortWithinPartitions("key", "doc_id", "text")
+    learned = materialize(texts_of(dealt, F.col("text")).mapInArrow(fit, "chunk int, part int, n long, a binary, b binary, c binary"))
+    model = new_model(sizes, None) | {"odds": np.zeros(slots, np.float16), "levels": np.zeros(slots - level_base, np.uint8), "level_base": level_base, "kinds": np.zeros(classes.shape[1], np.int64)}
+    total, weights = 0, np.zeros_like(model["weights"])
+    for row in learned.where("chunk < 0").orderBy("part").toLocalIterator():  # 150 kB a part, of MOST_PARTS at most
+        weights += row["n"] * np.frombuffer(row["a"]).reshape(weights.shape)
+        model["apm"] += np.frombuffer(row["b"]).reshape(APM, 2)
+        model["kinds"] += np.frombuffer(row["c"], np.int64)
+        total += row["n"]
+    if total:
+        model["weights"] = weights / total
+    summed = learned.where("chunk >= 0").select("chunk", "a").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, odds binary, levels binary")
+    for row in materialize(summed).toLocalIterator():  # at most three bytes a slot, chunk by chunk
+        at = row["chunk"] * width
+        model["odds"][at : at + width] = np.frombuffer(row["odds"], np.float16)
+        seen = np.frombuffer(row["levels"], np.uint8)
+        model["levels"][max(0, at - level_base) :][: len(seen)] = seen
+    return model
 
 
-def count_words(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(g, h, z, word, n, n_all) of (text, held_out): lower-cased words of each class with their counts in training texts and in all."""
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
+def count_words(docs: DataFrame) -> DataFrame:
+    """(h, n, n_all) of (text, held_out): hashes of lower-cased words with their counts in training texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_buffers(batch.column(0))
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in slices(at, 1 << 22):
-                own, begin = LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i]
-                starts, ends, first = word_spans(own, begin)
-                if not len(starts):
-                    continue
-                z = np.repeat(classify(sent.value, own, begin), np.diff(first))
-                hashes = word_hashes(own, starts, ends)
-                g, where, code, n_all = np.unique(pair_names(hashes, z), return_index=True, return_inverse=True, return_counts=True)
-                n = np.bincount(code, np.repeat(~held[i:j], np.diff(first)), minlength=len(g)).astype(np.int64)
-                text = own.tobytes()
-                for k in range(0, len(g), 1 << 16):
-                    s = slice(k, k + (1 << 16))
-                    words = [text[a:b] for a, b in zip(starts[where[s]].tolist(), ends[where[s]].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[s].view(np.int64)), pa.array(hashes[where[s]].view(np.int64)), pa.array(z[where[s]].astype(np.int32)), pa.array(words, pa.binary()), pa.array(n[s]), pa.array(n_all[s].astype(np.int64))], names=["g", "h", "z", "word", "n", "n_all"])
-
-    parts = texts_of(docs, F.col("text"), F.col("held_out")).mapInArrow(run, "g long, h long, z int, word binary, n long, n_all long")
-    return parts.groupBy("g").agg(F.first("h").alias("h"), F.first("z").alias("z"), F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+            starts, ends, first = word_spans(raw, at)
+            h, code, n_all = np.unique(word_hashes(raw, starts, ends), return_inverse=True, return_counts=True)
+            n = np.bincount(code, np.repeat(~held, np.diff(first)), minlength=len(h)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(n_all.astype(np.int64))], names=["h", "n", "n_all"])
+
+    parts = texts_of(docs, F.col("text"), F.col("held_out")).mapInArrow(run, "h long, n long, n_all long")
+    return parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -337,33 +376,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"))
-    n_ends = docs.where("NOT held_out").count()
-    classes = fit_classes(docs.where("NOT held_out"))
-    counted = materialize(count_words(docs.select("text", "held_out"), classes))
-    by_class = {r.z: (r.words, r["distinct"]) for r in counted.groupBy("z").agg(F.sum("n").alias("words"), F.count_if(F.col("n") > 0).alias("distinct")).collect()}
-    whole = materialize(counted.groupBy("h").agg(F.sum("n").alias("c")))
-    total = whole.agg(F.sum("c").alias("words"), F.count_if(F.col("c") > 0).alias("distinct")).first()
-    n_words, distinct = total.words or 0, total["distinct"] or 0
-    n_train, v_train = n_words + n_ends, distinct + (n_ends > 0)
-    end = (n_ends + 0.5) / (n_train + 1)
+    training = docs.where("NOT held_out")
+    n_ends, size = training.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    classes = fit_classes(training)
+    model = train(training, size, classes)
+    counted = materialize(count_words(docs))
+    total = counted.agg(F.sum("n").alias("words"), F.count_if(F.col("n") > 0).alias("distinct")).first()
+    n_train, v_train = (total.words or 0) + n_ends, (total["distinct"] or 0) + (n_ends > 0)
     base_total = float(np.log10(n_train + 1 * (v_train + 1)))
-    pairs = sum(b for _, b in by_class.values())
-    spelled_ = spell_scores(counted, *train(counted.where("n > 0"), pairs)).join(whole, "h")
-
-    def backed(count: str, words, kinds, below):
-        """Absolute discounting; without counts, what is below."""
-        return F.coalesce(F.try_divide(F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + below * DISCOUNT * kinds, words), below)
-
-    sizes = F.create_map(*(x for z, (a, b) in sorted(by_class.items()) for x in (F.lit(z), F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))))) if by_class else None
-    # Spelling is floored at 1e-250, so that no probability underflows; what is below stays in the exponent.
-    low = F.least(F.col("spell") + 250, F.lit(0.0))
-    p = backed("c", F.lit(float(n_words)), F.lit(float(distinct)), F.pow(F.lit(10.0), F.col("spell") - low))
-    if sizes is not None:
-        p = backed("n", sizes[F.col("z")]["a"], sizes[F.col("z")]["b"], p)
-    log_p = F.log10(p) + F.when(F.col("c") > 0, 0.0).otherwise(low) + float(np.log10(1 - end))
-    terms = materialize(spelled_.select("g", "n_all", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 1) - base_total).alias("base"), log_p.alias("model")))
-    prior = np.array([by_class.get(z, (0, 0))[0] + 1.0 for z in range(classes.shape[1])])
-    prior = np.log10(prior / prior.sum())
+    terms = counted.select("h", "n_all", (F.col("n") > 0).cast("long").alias("known"), (F.log10(F.col("n") + 1) - base_total).alias("base"))
+    prior = np.log10((model["kinds"] + 1) / (model["kinds"] + 1).sum())
     # The most frequent words: a count at which at most TOP words are left.
     by_count = sorted(((r.n_all, r["count"]) for r in terms.where("n_all > 1").groupBy("n_all").count().collect()), reverse=True)  # one row for each count that occurs
     least, held = 1 << 62, 0
@@ -371,16 +393,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
         if held + k > TOP:
             break
         least, held = n, held + k
-    top = sorted(((r.g, r.known, r.base, r.model) for r in terms.where(F.col("n_all") >= least).collect()))
-    sent = spark.sparkContext.broadcast((np.array([t[0] for t in top], np.int64), np.array([t[1:] for t in top], float).reshape(-1, 3)))
-    end_terms = (int(n_ends > 0), float(np.log10(n_ends + 1)) - base_total, float(np.log10(end)))
+    top = sorted(((r.h, r.known, r.base) for r in terms.where(F.col("n_all") >= least).collect()))
+    sent = spark.sparkContext.broadcast((np.array([t[0] for t in top], np.int64), np.array([t[1:] for t in top], float).reshape(-1, 2), model))
+    end_terms = (int(n_ends > 0), float(np.log10(n_ends + 1)) - base_total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        keys, values = sent.value
+        keys, values, learned = sent.value
+        own = learned | {"odds": learned["odds"].astype(np.float32)}
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "model", "g", "tf"]
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "model", "h", "tf"]
 
         def emit(n: int, **own) -> pa.RecordBatch:
             types = {"held_out": pa.bool_(), "base": pa.float64(), "model": pa.float64()}
@@ -390,32 +413,32 @@ def score_documents(docs: DataFrame) -> DataFrame:
             ids, held_out = batch.column(0), batch.column(2)
             raw, at = text_buffers(batch.column(1))
             for i, j in slices(at):
-                begin = at[i : j + 1] - at[i]
-                starts, ends, first = word_spans(raw[at[i] : at[j]], begin)
-                kind = classify(classes, LOWER[raw[at[i] : at[j]]], begin)
-                h = pair_names(word_hashes(raw[at[i] : at[j]], starts, ends), np.repeat(kind, np.diff(first))).view(np.int64)
+                text, begin = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+                starts, ends, first = word_spans(text, begin)
+                kind = classify(classes, LOWER[text], begin)
+                scores = bit_costs(own, *token_text(text, begin, starts, ends, first), kind) + prior[kind]
+                h = word_hashes(text, starts, ends).view(np.int64)
                 where = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 found = keys[where] == h if len(keys) else np.zeros(len(h), bool)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
-                sums = [np.bincount(doc[found], values[where[found], k], minlength=j - i) for k in range(3)]
+                sums = [np.bincount(doc[found], values[where[found], k], minlength=j - i) for k in range(2)]
                 n = np.diff(first) + 1
-                yield emit(j - i, row=row + np.arange(j - i), doc_id=ids.slice(i, j - i), held_out=held_out.slice(i, j - i), n_tokens=n, n_bytes=np.diff(begin), known=np.rint(sums[0]).astype(np.int64) + end_terms[0], base=sums[1] + end_terms[1], model=sums[2] + end_terms[2] + prior[kind])
+                yield emit(j - i, row=row + np.arange(j - i), doc_id=ids.slice(i, j - i), held_out=held_out.slice(i, j - i), n_tokens=n, n_bytes=np.diff(begin), known=np.rint(sums[0]).astype(np.int64) + end_terms[0], base=sums[1] + end_terms[1], model=scores)
                 rest = np.flatnonzero(~found)
                 if len(rest):
                     order = np.lexsort((h[rest], doc[rest]))
                     d, w = doc[rest][order], h[rest][order]
                     cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
-                    yield emit(len(cut), row=row + d[cut], g=w[cut], tf=np.diff(np.append(cut, len(d))))
+                    yield emit(len(cut), row=row + d[cut], h=w[cut], tf=np.diff(np.append(cut, len(d))))
                 row += j - i
 
-    staged = materialize(texts_of(docs, F.col("doc_id"), F.col("text"), F.col("held_out")).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, model double, g long, tf long"))
-    rare = staged.where("g IS NOT NULL").select("row", "g", "tf").join(terms.where(F.col("n_all") < least).drop("n_all"), "g")
-    summed = rare.groupBy("row").agg(F.sum(F.col("tf") * F.col("known")).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"), F.sum(F.col("tf") * F.col("model")).alias("m"))
-    texts = staged.where("g IS NULL").drop("g", "tf").join(summed, "row", "left")
-    score = F.col("model") + F.coalesce("m", F.lit(0.0))
+    staged = materialize(texts_of(docs, F.col("doc_id"), F.col("text"), F.col("held_out")).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, model double, h long, tf long"))
+    rare = staged.where("h IS NOT NULL").select("row", "h", "tf").join(terms.where(F.col("n_all") < least).drop("n_all"), "h")
+    summed = rare.groupBy("row").agg(F.sum(F.col("tf") * F.col("known")).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"))
+    texts = staged.where("h IS NULL").drop("h", "tf").join(summed, "row", "left")
     return texts.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), score.alias("score"), F.when(F.col("n_bytes") > 0, score * (-float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), F.col("model").alias("score"), F.when(F.col("n_bytes") > 0, F.col("model") * (-float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

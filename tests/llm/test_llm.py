@@ -140,6 +140,78 @@ def test_scoring_classes_are_the_languages_of_all_training_texts(spark, docs):
     assert all(np.isfinite(v) for v in scores(docs.drop("lang")).values())
 
 
+def test_scoring_mixes_the_bits_of_running_texts_as_a_plain_scorer_does():
+    """Counts, mix and refinement of each bit against dictionaries of whole contexts; texts come back from what is predicted."""
+    texts = ["Aa bb  aa\tbb cé", "", " \n", "aa bb", "bb aa aa", "cé " * 30, "zz aa bb"]
+    raw, at = common.text_buffers(pa.array(texts))
+    spoken, begin = scoring.token_text(raw, at, *common.word_spans(raw, at))
+    streams = [spoken[a:b].tobytes() for a, b in itertools.pairwise(begin)]
+    assert streams == [b"".join(w + b" " for w in words_of(t)) + b"\n" for t in texts]
+    z = np.array([0, 1, 0, 1, 1, 0, 1])
+    sizes = (22,) * scoring.PREDICTORS
+    model = scoring.new_model(sizes, np.zeros((sum(1 << b for b in sizes), 2), np.uint32))
+    for _ in range(3):
+        assert scoring.learn(model, spoken, begin, z) == 8 * len(spoken)
+
+    def seen_by(stream, i, kind):
+        *words, word = stream[:i].split(b" ")
+        last = [bytes(k - min(i, k)) + stream[max(0, i - k) : i] for k in range(1, 5)]
+        return [(1, last[0], kind), (2, last[1], kind), (3, last[2], kind), (4, last[3]), (5, word), (6, word, words[-1] if words else None)]
+
+    def bits_of(stream, kind):
+        for i, byte in enumerate(stream):
+            for place in range(8):
+                bit = byte >> (7 - place) & 1
+                yield place, bit, stream[i - 1] if i else 0, [(c, place, byte >> (8 - place)) for c in seen_by(stream, i, kind)]
+
+    counts = collections.defaultdict(lambda: [0, 0])
+    for stream, kind in zip(streams, z.tolist(), strict=True):
+        for _, bit, _, contexts in bits_of(stream, kind):
+            for c in contexts:
+                counts[c][bit] += 3
+    assert np.array_equal(np.sort(model["counts"][model["counts"].any(1)], 0), np.sort(np.array(list(counts.values())), 0))
+
+    def plain(stream, kind):
+        total = 0.0
+        for place, bit, before, contexts in bits_of(stream, kind):
+            pairs = [counts.get(c, (0, 0)) for c in contexts]
+            inputs = [*(np.log((b + 0.4) / (a + 0.4)) for a, b in pairs), 0.3]
+            level = [sum(sum(p) > least for least in (0, 2, 15)) for p in pairs[-2:]]
+            odds = float(np.dot(inputs, model["weights"][(level[0] * 4 + level[1]) * 8 + place]))
+            p = 1 / (1 + np.exp(-odds))
+            zeros, ones = model["apm"][before * 33 + 16 + int(np.clip(np.rint(odds * 2), -16, 16))]
+            p = (p + (ones + 20 * p) / (zeros + ones + 20)) / 2
+            total += np.log10(p if bit else 1 - p)
+        return total
+
+    new, at = common.text_buffers(pa.array([*texts, "bb cé aa", "new words"]))
+    spoken, begin = scoring.token_text(new, at, *common.word_spans(new, at))
+    kinds = np.append(z, [0, 1])
+    level_base = sum(1 << b for b in sizes[:-2])
+    sent = model | {"counts": None, "odds": scoring.log_odds(model["counts"]), "levels": scoring.levels(model["counts"][level_base:]), "level_base": level_base}
+    want = [plain(spoken[a:b].tobytes(), k) for (a, b), k in zip(itertools.pairwise(begin), kinds.tolist(), strict=True)]
+    for m in (model, sent):
+        assert np.allclose(scoring.bit_costs(m, spoken, begin, kinds), want, rtol=1e-4, atol=1e-3)
+
+
+def test_scoring_tells_the_order_of_words(spark):
+    """Held-out texts with the same words in another order: the model has seen one order only."""
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rows = [(k, f"{PROSE} {k % 10}", "en") for k in ids] + [(held[0], PROSE, "en"), (held[1], " ".join(reversed(PROSE.split())), "en")]
+    got = {r.doc_id: r for r in scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score) and got[held[0]].score > got[held[1]].score + 3
+
+
+def test_scoring_groups_of_texts_follow_from_the_texts_alone():
+    texts = pa.array(["x" * (k * 7919 % 60_000) for k in range(60)] + [None, ""])
+    groups = []
+    for step in (1, 7, 62):
+        batches = [pa.RecordBatch.from_arrays([texts.slice(k, step)], names=["text"]) for k in range(0, len(texts), step)]
+        groups.append([(len(raw), at.tolist()) for raw, at in scoring._text_groups(iter(batches))])
+    assert groups[0] == groups[1] == groups[2] and sum(n for n, _ in groups[0]) == sum(len(t) for t in texts.to_pylist() if t)
+
+
 # 2
 
 
