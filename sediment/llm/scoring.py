@@ -44,7 +44,8 @@ RATE = 0.02
 STEP_BYTES, PASS_BYTES = 1 << 12, 1 << 13
 GATES = 16 * 8
 APM = 256 * 33
-CHUNKS = 32
+#: Ranges of slots, of at most 2^16 each.
+CHUNKS = 256
 #: Bytes of texts to a part of the training, and the most parts.
 PART_BYTES, MOST_PARTS = 1 << 26, 256
 MAX_CLASSES, DIMS = 1 << 10, 1 << 12
@@ -289,13 +290,23 @@ def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers with equal bytes of all of them together, which compresses."""
-    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
 
 
 def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def used_slots(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and counts of the slots of a range that were seen."""
+    used = np.flatnonzero(counts.any(1))
+    return used.astype(np.uint16).tobytes(), _planes(counts[used].ravel())
+
+
+def add_slots(total: np.ndarray, places: bytes, counts: bytes) -> None:
+    total[np.frombuffer(places, np.uint16)] += _unplaned(counts).reshape(-1, 2)
+
+
 def train(texts: DataFrame, size: int, classes: np.ndarray) -> dict:
     """The model of all of (doc_id, text), of so many bytes together."""
     sizes = table_bits(size)
@@ -319,17 +330,17 @@ def train(texts: DataFrame, size: int, classes: np.ndarray) -> dict:
         rows = [(-1, part, bits, own["weights"].tobytes(), own["apm"].tobytes(), kinds.tobytes())]
         for c in range(-1, CHUNKS):
             if c >= 0:
-                rows = [(c, part, bits, _planes(own["counts"][c * width : (c + 1) * width].ravel()), b"", b"")]
+                rows = [(c, part, bits, *used_slots(own["counts"][c * width : (c + 1) * width]), b"")]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "part", "n", "a", "b", "c"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n = _unplaned(data.as_py()).astype(np.int64)
-                sums[c] = sums[c] + n if c in sums else n
+            for c, places, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if c not in sums:
+                    sums[c] = np.zeros((min(width, slots - c * width), 2), np.int64)
+                add_slots(sums[c], places.as_py(), n.as_py())
         for c, n in sums.items():
-            n = n.reshape(-1, 2)
             seen = levels(n)[max(0, level_base - c * width) :]
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([log_odds(n).astype(np.float16).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["chunk", "odds", "levels"])
 
@@ -346,7 +357,7 @@ def train(texts: DataFrame, size: int, classes: np.ndarray) -> dict:
         total += row["n"]
     if total:
         model["weights"] = weights / total
-    summed = learned.where("chunk >= 0").select("chunk", "a").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, odds binary, levels binary")
+    summed = learned.where("chunk >= 0").select("chunk", "a", "b").repartition(CHUNKS // 8, "chunk").mapInArrow(add, "chunk int, odds binary, levels binary")
     for row in materialize(summed).toLocalIterator():  # at most three bytes a slot, chunk by chunk
         at = row["chunk"] * width
         model["odds"][at : at + width] = np.frombuffer(row["odds"], np.float16)
@@ -362,9 +373,14 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             raw, at = text_buffers(batch.column(0))
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            starts, ends, first = word_spans(raw, at)
-            h, code, n_all = np.unique(word_hashes(raw, starts, ends), return_inverse=True, return_counts=True)
-            n = np.bincount(code, np.repeat(~held, np.diff(first)), minlength=len(h)).astype(np.int64)
+            hashes, trained = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            for i, j in slices(at):
+                own = raw[at[i] : at[j]]
+                starts, ends, first = word_spans(own, at[i : j + 1] - at[i])
+                hashes.append(word_hashes(own, starts, ends))
+                trained.append(np.repeat(~held[i:j], np.diff(first)))
+            h, code, n_all = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            n = np.bincount(code, np.concatenate(trained), minlength=len(h)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(n_all.astype(np.int64))], names=["h", "n", "n_all"])
 
     parts = texts_of(docs, F.col("text"), F.col("held_out")).mapInArrow(run, "h long, n long, n_all long")
@@ -401,7 +417,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         keys, values, learned = sent.value
-        own = learned | {"odds": learned["odds"].astype(np.float32)}
+        # In place: tasks of one worker share the model.
+        learned["odds"] = learned["odds"].astype(np.float32, copy=False)
         row = TaskContext.get().partitionId() << 40
         names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "model", "h", "tf"]
 
@@ -416,7 +433,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 text, begin = raw[at[i] : at[j]], at[i : j + 1] - at[i]
                 starts, ends, first = word_spans(text, begin)
                 kind = classify(classes, LOWER[text], begin)
-                scores = bit_costs(own, *token_text(text, begin, starts, ends, first), kind) + prior[kind]
+                scores = bit_costs(learned, *token_text(text, begin, starts, ends, first), kind) + prior[kind]
                 h = word_hashes(text, starts, ends).view(np.int64)
                 where = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 found = keys[where] == h if len(keys) else np.zeros(len(h), bool)

@@ -203,6 +203,19 @@ def test_scoring_tells_the_order_of_words(spark):
     assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score) and got[held[0]].score > got[held[1]].score + 3
 
 
+def test_scoring_counts_travel_sparsely():
+    """A part that saw few contexts sends few bytes; parts add up to all counts, also large ones."""
+    rng = np.random.default_rng(3)
+    parts = [np.where(rng.random((1 << 16, 1)) < share, rng.integers(0, 1 << top, (1 << 16, 2)), 0).astype(np.uint32) for share, top in ((0.01, 3), (0.5, 32), (0, 1))]
+    total = np.zeros((1 << 16, 2), np.int64)
+    for part in parts:
+        sent = scoring.used_slots(part)
+        assert len(sent[0]) + len(sent[1]) == 10 * int(part.any(1).sum())
+        scoring.add_slots(total, *sent)
+    assert np.array_equal(total, sum(p.astype(np.int64) for p in parts))
+    assert -(-sum(1 << b for b in scoring.table_bits(1 << 50)) // scoring.CHUNKS) <= 1 << 16
+
+
 def test_scoring_groups_of_texts_follow_from_the_texts_alone():
     texts = pa.array(["x" * (k * 7919 % 60_000) for k in range(60)] + [None, ""])
     groups = []
