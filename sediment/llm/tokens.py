@@ -40,6 +40,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 LEAST = 4
 CACHE_PIECES = 1 << 20
+#: Pairs of which so few are counted without leaving out rare ones first.
+FEW = 1 << 12
 WORD_END = "</w>"
 #: Marks of which a run is one piece (an apostrophe, or what a special token is made of, may not be).
 MARKS = b".,!?;:*#$%&()[]{}/=+-_~@^"
@@ -55,6 +57,11 @@ _MARK[list(MARKS)] = True
 _STATE: dict[str, tuple] = {}
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with zeros behind where it is shorter, so that adding to it again and again copies it seldom."""
+    return array if len(array) >= size else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizers file, word by word: ids of a word don't depend on what stands beyond white space.
 
@@ -73,8 +80,37 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the cache: sorted hashes, and where the ids of each begin in `pool`, which begins with the end id."""
-        self.keys, self.begin, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([END_ID], np.uint32)
+        """Empty the cache: a hash table of the pieces' numbers, and where the ids of each number begin in `pool`, which begins with the end id."""
+        self.keys, self.numbers, self.known, self.filled = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0, 1
+        self.begin, self.size, self.pool = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), np.full(1 << 17, END_ID, np.uint32)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece; -1 where it is not known."""
+        out, slot, rest = np.full(len(hashes), -1, np.int64), self._slots(hashes), np.arange(len(hashes))
+        while len(rest):
+            there = self.keys[slot]
+            hit = there == hashes[rest]
+            out[rest[hit]] = self.numbers[slot[hit]]
+            more = ~hit & (there != 0)
+            rest, slot = rest[more], (slot[more] + 1) % len(self.keys)
+        return out
+
+    def _enter(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """hashes: distinct, and not known. At most half of the table is filled."""
+        if 2 * (self.known + len(hashes)) > len(self.keys):
+            old, more = np.flatnonzero(self.keys), 1 << (2 * (self.known + len(hashes))).bit_length()
+            hashes, numbers = np.concatenate([self.keys[old], hashes]), np.concatenate([self.numbers[old], numbers])
+            self.keys, self.numbers = np.zeros(more, np.uint64), np.zeros(more, np.int32)
+        slot, rest = self._slots(hashes), np.arange(len(hashes))
+        while len(rest):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[rest[free]]  # of several at one slot, one stays
+            own = self.keys[slot] == hashes[rest]
+            self.numbers[slot[own]] = numbers[rest[own]]
+            rest, slot = rest[~own], (slot[~own] + 1) % len(self.keys)
 
     def _by_offsets(self, words: list[str]) -> dict[str, bytes]:
         out = {}
@@ -89,34 +125,34 @@ class WordEncoder:
                 out[w] = ids[a:b].tobytes()
         return out
 
-    def _ids(self, words: list[str]) -> dict[str, bytes]:
-        letters, other, out = [], [], {}
-        for w in words:
-            (letters if LETTERS.fullmatch(w) else other).append(w)
-        parts = [letters[at : at + 500] for at in range(0, len(letters), 500)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+    def _ids(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(places of the words in another order, their ids in that order, how many each has)."""
+        order, other = [], []
+        for k, w in enumerate(words):
+            (order if LETTERS.fullmatch(w) else other).append(k)
+        parts, order, bodies, sizes = [order[at : at + 500] for at in range(0, len(order), 500)], [], [], []
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join([words[k] for k in p]) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
-            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cut) != len(part):  # not one piece each
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):  # not one piece each
                 other += part
                 continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(part, cut, strict=True):
-                out[w] = raw[a:b]
-                a = b
-        return out | self._by_offsets(other)
+            order += part
+            bodies.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        found = self._by_offsets([words[k] for k in other])
+        rest = [found[words[k]] for k in other]
+        return order + other, np.concatenate([*bodies, np.frombuffer(b"".join(rest), np.uint32)]), np.concatenate([*sizes, np.array([len(b) >> 2 for b in rest], np.int64)])
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """hashes: sorted."""
-        if len(self.keys) > CACHE_PIECES:
-            self.forget()
-        found = self._ids(words)
-        bodies = [found[w] for w in words]
-        size = np.array([len(b) >> 2 for b in bodies], np.int64)
-        begin = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(bodies), np.uint32)])
-        at = np.searchsorted(self.keys, hashes)
-        self.keys, self.begin, self.size = np.insert(self.keys, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        """hashes: distinct, and not known."""
+        order, ids, size = self._ids(words)
+        last, filled = self.known + len(size), self.filled + len(ids)
+        self.pool, self.begin, self.size = _room(self.pool, filled), _room(self.begin, last), _room(self.size, last)
+        self.pool[self.filled : filled] = ids
+        self.begin[self.known : last], self.size[self.known : last] = self.filled + np.cumsum(size) - size, size
+        self._enter(hashes[order], np.arange(self.known, last))
+        self.known, self.filled = last, filled
 
     def _pieces(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all pieces, and each row's first one (one more entry ends the last)."""
@@ -125,9 +161,12 @@ class WordEncoder:
             return starts, ends, first
         letter = _LETTER[raw] | (raw == 0xC3)
         letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
-        place = np.arange(len(raw))
-        tail = np.maximum.accumulate(np.where(_MARK[raw], 0, place + 1))[ends - 1]  # where the marks at the end begin
-        others = np.concatenate([[0], np.cumsum(~letter)])
+        narrow = np.int32 if len(raw) < 1 << 30 else np.int64
+        tail = np.arange(1, len(raw) + 1, dtype=narrow)
+        tail[_MARK[raw]] = 0
+        tail = np.maximum.accumulate(tail, out=tail)[ends - 1].astype(np.int64)  # where the marks at the end begin
+        others = np.zeros(len(raw) + 1, narrow)
+        np.cumsum(~letter, out=others[1:])
         two = np.flatnonzero((tail > starts) & (tail < ends) & (others[np.minimum(tail, len(raw))] == others[starts]))
         first = first + np.searchsorted(two, first)
         return np.insert(starts, two + 1, tail[two]), np.insert(ends, two, tail[two]), first
@@ -142,14 +181,16 @@ class WordEncoder:
         for i, j in slices(at):
             own, begin = raw[at[i] : at[j]], at[i : j + 1] - at[i]
             starts, ends, first = self._pieces(own, begin)
-            hashes, where, which = np.unique(mix(word_hashes(own, starts, ends, False) + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
-            if len(self.keys) > CACHE_PIECES:
+            hashes = np.maximum(mix(word_hashes(own, starts, ends, False) + (ends - starts).astype(np.uint64)), np.uint64(1))  # 0: a free slot
+            if self.known > CACHE_PIECES:
                 self.forget()
-            new = np.flatnonzero(~np.isin(hashes, self.keys, assume_unique=True)) if len(self.keys) < len(hashes) else np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] != hashes)
+            known = self._find(hashes)
+            new = np.flatnonzero(known < 0)
             if len(new):
-                text = own.tobytes()
-                self._learn(hashes[new], [text[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            known = np.searchsorted(self.keys, hashes)[which]
+                distinct, where = np.unique(hashes[new], return_index=True)
+                where, text = new[where], own.tobytes()
+                self._learn(distinct, [text[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+                known[new] = self._find(hashes[new])
             take, size = np.insert(self.begin[known], first[1:], 0), np.insert(self.size[known], first[1:], 1)  # the end id behind each text
             until = np.cumsum(size)
             out.append(self.pool[np.repeat(take - until + size, size) + np.arange(until[-1])])
@@ -171,59 +212,83 @@ def _next_in_run(at: np.ndarray, key: np.ndarray, after: np.ndarray) -> np.ndarr
     return (np.arange(len(at)) - begin) % 2 == 0
 
 
+def pick(array: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """array[where], for places that are all in range."""
+    return np.take(array, where, mode="clip")
+
+
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, symbols of each document) of documents that end before the positions `ends`, until no pair within one occurs `least` times.
 
     Each round ranks all pairs that occur so often by their count, and replaces each occurrence that outranks both pairs that
     overlap it, where a pair keeps `least` such occurrences; so the most frequent pair is replaced everywhere. Counts of old
-    pairs never grow, so after the first round only pairs that were frequent and those beside new symbols are looked at."""
+    pairs never grow, so after the first round only pairs that were frequent and those beside new symbols are looked at. Pairs are counted by hash, and only those that count are sorted."""
     n = len(ids)
     seq = np.append(ids.astype(np.int64), 0)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)  # the symbol behind and before, n and -1: none
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # the symbol behind and before, n: none
     after[ends - 1] = n
-    before[ends[ends < n]] = -1
+    before[0] = before[ends[ends < n]] = n
     alive, look = np.ones(n, bool), np.zeros(n, bool)
-    key = (seq[:-1] << 32) | seq[np.minimum(after[:n], n)]
     at = np.flatnonzero(after[:n] < n)
-    bins = ((key[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    at = at[np.bincount(bins, minlength=1 << 20)[bins] >= least]
-    rank = np.zeros(n + 1, np.int64)  # of the pair that begins at a position; 0: none that counts
+    rank = np.zeros(n + 1, np.int32)  # of the pair that begins at a position; 0: none that counts
     rules: list[np.ndarray] = []
     n_rules = 0
     while len(at):
-        own = (seq[at] << 32) | seq[after[at]]
-        even = np.ones(len(at), bool)
-        twin = np.flatnonzero(seq[at] == seq[after[at]])
+        own, second = pick(seq, at), pick(seq, pick(after, at))
+        same = own == second
+        own <<= 32
+        own |= second
+        if len(at) > FEW:  # most pairs are rare: a bin with too few holds none that counts
+            bits = min(20, len(at).bit_length())
+            bins = own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bins >>= np.uint64(64 - bits)
+            bins = bins.view(np.int64)
+            full = np.flatnonzero(pick(np.bincount(bins, minlength=1 << bits) >= least, bins))
+            at, own, same = pick(at, full), pick(own, full), pick(same, full)
+        coded = pa.array(own).dictionary_encode()
+        pairs, which = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+        even, twin = np.ones(len(at), bool), np.flatnonzero(same)
         even[twin] = _next_in_run(at[twin], own[twin], after)
-        pairs, which = np.unique(own, return_inverse=True)
-        often = np.bincount(which[even], minlength=len(pairs))
-        good = (often >= least)[which]
-        at, which, even = at[good], which[good], even[good]
-        if not len(at):
+        often = np.bincount(which[even] if len(twin) else which, minlength=len(pairs))
+        good = pick(often >= least, which)
+        fit = np.flatnonzero(good & even)
+        if not len(fit):
             break
-        place = np.empty(len(pairs), np.int64)
-        place[np.lexsort((pairs, often))] = np.arange(1, len(pairs) + 1)
-        cand, kind = at[even], which[even]
-        rank[cand] = place[kind]
-        # before[] is -1 and after[] is n where there is none: the last entry of rank, which stays 0.
-        won = (rank[cand] > rank[before[cand]]) & (rank[cand] > rank[after[cand]])
+        cand, at, kind = pick(at, fit), pick(at, np.flatnonzero(good)), pick(which, fit)
+        counted = np.flatnonzero(often >= least)
+        place = np.zeros(len(pairs), np.int32)
+        place[counted[np.lexsort((pairs[counted], often[counted]))]] = np.arange(1, len(counted) + 1)
+        own = pick(place, kind)
+        rank[cand] = own
+        # before[] and after[] are n where there is none: the last entry of rank, which stays 0.
+        won = np.flatnonzero((own > pick(rank, pick(before, cand))) & (own > pick(rank, pick(after, cand))))
         rank[cand] = 0
-        won &= (np.bincount(kind[won], minlength=len(pairs)) >= least)[kind]
-        take, kind = cand[won], kind[won]
-        used, symbol = np.unique(kind, return_inverse=True)
+        kind = pick(kind, won)
+        enough = np.bincount(kind, minlength=len(pairs)) >= least
+        most = np.flatnonzero(pick(enough, kind))
+        take, kind = pick(cand, pick(won, most)), pick(kind, most)
+        used = np.flatnonzero(enough)
+        used = used[np.argsort(pairs[used])]
+        symbol = np.zeros(len(pairs), np.int64)
+        symbol[used] = base + n_rules + np.arange(len(used))
         rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
-        right = after[take]
-        seq[take] = base + n_rules + symbol
         n_rules += len(used)
+        right = pick(after, take)
+        seq[take] = pick(symbol, kind)
         alive[right] = False
-        behind = after[right]
+        behind = pick(after, right)
         after[take] = behind
-        before[behind[behind < n]] = take[behind < n]
-        beside = before[take]
-        look[at] = look[take] = look[beside[beside >= 0]] = True
-        at = np.flatnonzero(look & alive & (after[:n] < n)) if len(at) > n >> 6 else np.unique(np.concatenate([at, take, beside[beside >= 0]]))
-        look[:] = False
-        at = at[alive[at] & (after[at] < n)]
+        before[behind] = take  # before[n] is never read
+        beside = pick(before, take)
+        beside = beside[beside < n]
+        if len(at) > n >> 6:
+            look[at] = look[take] = look[beside] = True
+            at = np.flatnonzero(look & alive)
+            at = pick(at, np.flatnonzero(pick(after, at) < n))
+            look[:] = False
+        else:
+            at = np.unique(np.concatenate([at, take, beside]))
+            at = at[alive[at] & (after[at] < n)]
     last = np.zeros(n, bool)
     last[np.flatnonzero(alive & (after[:n] == n))] = True
     symbols = seq[:n][alive]
@@ -233,10 +298,15 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) ->
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many token ids each nonterminal expands to; a rule only uses earlier ones."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((1 if a < base else out[a - base]) + (1 if b < base else out[b - base]))
-    return np.array(out, np.int64)
+    known = np.zeros(base + len(rules), np.int64)
+    known[:base] = 1
+    left, rest = rules.astype(np.int64), np.arange(len(rules))
+    while len(rest):  # as often as rules are nested
+        size = known[left]
+        done = size.all(1)
+        known[base + rest[done]] = size[done].sum(1)
+        left, rest = left[~done], rest[~done]
+    return known[base:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
@@ -251,8 +321,16 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarra
         return size
 
     size = size_of(todo)
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint32)
+    until = np.cumsum(size)
+    total, whole = int(size.sum()), int(lengths.sum())
+    if whole < total // 2:  # each rule once, and its ids then wherever it stands
+        pool = np.concatenate([expand(base + np.arange(len(rules)), rules, base, lengths), todo.astype(np.uint32)])
+        begin = whole + np.arange(len(todo))
+        more = np.flatnonzero(todo >= base)
+        begin[more] = (np.cumsum(lengths) - lengths)[todo[more] - base]
+        return pool[np.repeat(begin - until + size, size) + np.arange(total)]
+    at = until - size
+    out = np.empty(total, np.uint32)
     while len(todo):
         more = todo >= base
         out[at[~more]] = todo[~more]

@@ -600,6 +600,46 @@ def test_repair_goes_on_to_the_end(least):
     assert len(symbols) < len(ids) / 2.5
 
 
+def test_repair_sorts_no_more_than_the_pairs_that_count(monkeypatch):
+    """Sorting every pair of every round took half of the time of a block."""
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 3000, rng.integers(2, 6)) for _ in range(2000)]
+    ids = np.concatenate([words[k] for k in rng.zipf(1.2, 60_000) % 2000]).astype(np.uint32)
+    ends = np.unique(np.append(rng.integers(1, len(ids) + 1, 50), len(ids)))
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **own: sizes.append(len(x)) or unique(x, **own))
+    symbols, rules, _ = tokens.repair(ids, ends, 3000)
+    assert (tokens.expand(symbols, rules, 3000) == ids).all() and len(symbols) < len(ids) / 2
+    assert max(sizes, default=0) < len(ids) / 8
+
+
+def test_expand_of_nested_and_of_seldom_used_rules():
+    """Rules that are longer together than what is expanded, and a few that stand for nearly all of it."""
+    nested = np.array([[0, 1], *([k + 10, k + 10] for k in range(11))])
+    lengths = tokens.rule_lengths(nested, 10)
+    assert lengths.tolist() == [2 << k for k in range(12)] and tokens.rule_lengths(nested[:0], 10).tolist() == []
+    for symbols in ([12, 3, 10], [21] * 9 + [4, 11], [5], []):
+        want = [i for x in symbols for i in ([x] if x < 10 else [0, 1] * (1 << (x - 10)))]
+        assert tokens.expand(np.array(symbols, np.int64), nested, 10).tolist() == want
+
+
+def test_pieces_are_added_to_the_cache_in_place(monkeypatch):
+    """A slice with new words doesn't copy what is known, and ids are the same when the cache grows, and when it is emptied."""
+    path = tokens.default_path()
+    words = ["".join(chr(97 + int(d)) for d in str(k)) + "!," * (k % 2) for k in range(60_000)]
+    texts = pa.array([" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)])
+    grown, emptied = tokens.WordEncoder(path), tokens.WordEncoder(path)
+    want = grown.encode(texts)
+    before = grown.keys
+    grown.encode(pa.array(["zzzz zzzx"]))
+    assert grown.keys is before
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 5000)
+    for k in range(0, len(texts), 10):
+        ids, n = emptied.encode(texts.slice(k, 10))
+        a = int(want[1][:k].sum())
+        assert np.array_equal(n, want[1][k : k + 10]) and np.array_equal(ids, want[0][a : a + len(ids)])
+
+
 def test_words_equal_the_library_on_random_strings():
     from tokenizers import Tokenizer
 
