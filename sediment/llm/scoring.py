@@ -204,19 +204,24 @@ def levels(n: np.ndarray) -> np.ndarray:
     return (n > 0).view(np.uint8) + (n > 2).view(np.uint8) + (n > 15).view(np.uint8)
 
 
+def slot_pairs(counts: np.ndarray) -> np.ndarray:
+    """The zeros and ones of each slot as one number, in place."""
+    return counts.view(f"u{2 * counts.itemsize}").ravel()
+
+
 def mixed_odds(model: dict, slots: np.ndarray, bits: np.ndarray, keep: bool) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
     """(inputs, gates, log-odds of a one) for all bits, from the counts, or from `odds` and `levels` where they were worked out; inputs only if `keep`."""
     n = len(bits)
     inputs = np.empty((PREDICTORS + 1, n), np.float32)
     inputs[-1] = 0.3
     gates = np.zeros(n, np.int64)
-    pairs = None if model["counts"] is None else model["counts"].view(f"u{2 * model['counts'].itemsize}").ravel()
+    pairs = None if model["counts"] is None else slot_pairs(model["counts"])
     for k in range(PREDICTORS):
         if pairs is None:
             np.take(model["odds"], slots[k], out=inputs[k], mode="clip")
-            seen = model["levels"][slots[k] - model["level_base"]] if k >= PREDICTORS - 2 else None
+            seen = np.take(model["levels"], slots[k] - model["level_base"], mode="clip") if k >= PREDICTORS - 2 else None
         else:
-            own = pairs[slots[k]].view(model["counts"].dtype).reshape(-1, 2)
+            own = np.take(pairs, slots[k], mode="clip").view(model["counts"].dtype).reshape(-1, 2)
             inputs[k] = log_odds(own)
             seen = levels(own) if k >= PREDICTORS - 2 else None
         if seen is not None:
@@ -224,7 +229,7 @@ def mixed_odds(model: dict, slots: np.ndarray, bits: np.ndarray, keep: bool) ->
     gates = (gates.reshape(8, -1) * 8 + np.arange(8)[:, None]).ravel()
     odds = np.zeros(n, np.float32)
     for k, weights in enumerate(model["weights"].T.astype(np.float32)):
-        odds += inputs[k] * weights[gates]
+        odds += inputs[k] * np.take(weights, gates, mode="clip")
     return inputs if keep else None, gates, np.clip(odds, -30, 30, out=odds)
 
 
@@ -244,8 +249,8 @@ def refined(model: dict, odds: np.ndarray, before: np.ndarray) -> np.ndarray:
 def learn(model: dict, raw: np.ndarray, at: np.ndarray, z: np.ndarray) -> int:
     """Online steps over some texts: predict, then learn weights, adaptive table and counts; returns the bits seen."""
     contexts, before = byte_contexts(raw, at, z)
-    weights, apm, counts = model["weights"], model["apm"], model["counts"].ravel()
-    one = counts.dtype.type(1)
+    weights, apm, pairs = model["weights"], model["apm"], slot_pairs(model["counts"])
+    one_more = slot_pairs(np.eye(2, dtype=model["counts"].dtype))  # of a slot's zeros, of its ones
     for a in range(0, len(raw), STEP_BYTES):
         part = slice(a, a + STEP_BYTES)
         slots, bits = bit_slots(contexts[:, part], raw[part], model["sizes"])
@@ -255,10 +260,9 @@ def learn(model: dict, raw: np.ndarray, at: np.ndarray, z: np.ndarray) -> int:
         for k in range(PREDICTORS + 1):
             weights[:, k] += RATE * 8 * np.bincount(gates, gap * inputs[k], minlength=GATES) / seen
         apm += np.bincount(apm_rows(odds, before[part]) * 2 + bits, minlength=2 * APM).reshape(APM, 2)
-        slots *= 2
-        slots += bits
+        more = one_more[bits]
         for k in range(PREDICTORS):
-            np.add.at(counts, slots[k], one)
+            np.add.at(pairs, slots[k], more)
     return len(raw) * 8
 
 

@@ -203,6 +203,25 @@ def test_scoring_tells_the_order_of_words(spark):
     assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score) and got[held[0]].score > got[held[1]].score + 3
 
 
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_scoring_counts_are_added_in_place_as_pairs(kind):
+    """A slot's zeros and ones are one number to learning, and counts are those of each slot and bit."""
+    texts = pa.array(["aa bb aa", "bb aa bb cé", "zz " * 300])
+    raw, at = common.text_buffers(texts)
+    spoken, begin = scoring.token_text(raw, at, *common.word_spans(raw, at))
+    sizes, z = scoring.table_bits(10), np.array([0, 1, 0])
+    want = np.zeros((sum(1 << b for b in sizes), 2), kind)
+    for a in range(0, len(spoken), scoring.STEP_BYTES):
+        part = slice(a, a + scoring.STEP_BYTES)
+        slots, bits = scoring.bit_slots(scoring.byte_contexts(spoken, begin, z)[0][:, part], spoken[part], sizes)
+        for own in slots:
+            np.add.at(want, (own, bits), 1)
+    model = scoring.new_model(sizes, np.zeros_like(want))
+    assert np.shares_memory(scoring.slot_pairs(model["counts"]), model["counts"])
+    scoring.learn(model, spoken, begin, z)
+    assert np.array_equal(model["counts"], want)
+
+
 def test_scoring_counts_travel_sparsely():
     """A part that saw few contexts sends few bytes; parts add up to all counts, also large ones."""
     rng = np.random.default_rng(3)
