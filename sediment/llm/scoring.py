@@ -19,6 +19,9 @@ before it, moves the weights by the gradient of the coding cost, and only then a
 to the counts. Texts are dealt by hash to parts of about PART_BYTES, and learned from in the order of a hash in each;
 then counts and adaptive tables are added up, and weights averaged. Scoring reads what was learned and changes nothing.
 
+In queries these loops run in the JVM, in BitMixer.java; classify, token_text, learn and bit_costs are their plain form,
+which gives the same results but for rounding.
+
 Defined results: a null text is empty, and an empty text is one end of class 0; a null doc_id is not held out;
 without training texts the counts are 0 and each bit is one half; repeated rows are scored one by one and count as
 often as they occur; other columns are ignored.
@@ -34,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialize, powers, slices, table, text_buffers, texts_of, word_hashes, word_spans
-from .language import remainder, trigrams
+from .jvm import ints, map_rows, sent
+from .language import LETTERS, remainder, trigrams
 
 TOP = 1 << 18
 #: Predictors, and the largest table of one, as a power of two.
@@ -278,20 +282,6 @@ def bit_costs(model: dict, raw: np.ndarray, at: np.ndarray, z: np.ndarray) -> np
     return np.add.reduceat(cost, at[:-1]) if len(at) > 1 else np.zeros(0)
 
 
-def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, begins) of groups of texts (column 0) of bounded size, which are the same however the texts came in batches."""
-    held = None
-    for batch in batches:
-        column = batch.column(0) if held is None else pa.concat_arrays([held, batch.column(0)])
-        raw, at = text_buffers(column)
-        *groups, (i, _) = list(slices(at)) or [(0, 0)]
-        for a, b in groups:
-            yield raw[at[a] : at[b]], at[a : b + 1] - at[a]
-        held = column.slice(i)
-    if held is not None and len(held):
-        yield text_buffers(held)
-
-
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers with equal bytes of all of them together, which compresses."""
     return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
@@ -311,31 +301,26 @@ def add_slots(total: np.ndarray, places: bytes, counts: bytes) -> None:
     total[np.frombuffer(places, np.uint16)] += _unplaned(counts).reshape(-1, 2)
 
 
+def sent_classes(spark: SparkSession, classes: np.ndarray) -> tuple:
+    """What tells the class of a text, for BitMixer.java."""
+    return sent(spark, "BitMixer", LETTERS[LOWER].tobytes()), sent(spark, "BitMixer", np.ascontiguousarray(classes, np.float64).tobytes())
+
+
+def mixed_costs(texts: DataFrame, model: dict, classes: np.ndarray) -> DataFrame:
+    """(doc_id, text, held_out, z, cost) of (doc_id, text, held_out): the class of each text, and bit_costs of it."""
+    spark = texts.sparkSession
+    parts = (sent(spark, "BitMixer", model[name].tobytes()) for name in ("odds", "levels", "weights", "apm"))
+    rows = texts.select("doc_id", F.col("text").cast("binary").alias("text"), "held_out")
+    return map_rows(rows, "BitMixer", "Score", "doc_id long, text binary, held_out boolean, z int, cost double", ints(spark, model["sizes"]), *sent_classes(spark, classes), *parts)
+
+
 def train(texts: DataFrame, size: int, classes: np.ndarray) -> dict:
     """The model of all of (doc_id, text), of so many bytes together."""
     sizes = table_bits(size)
     slots, parts = sum(1 << b for b in sizes), max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
     width = -(-slots // CHUNKS)
     level_base = sum(1 << b for b in sizes[:-2])
-    sent = texts.sparkSession.sparkContext.broadcast(classes)
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own, bits = new_model(sizes, np.zeros((slots, 2), np.uint32)), 0
-        kinds = np.zeros(classes.shape[1], np.int64)
-        for raw, at in _text_groups(batches):
-            z = classify(sent.value, LOWER[raw], at)
-            kinds += np.bincount(z, minlength=len(kinds))
-            bits += learn(own, *token_text(raw, at, *word_spans(raw, at)), z)
-        if not bits:
-            return
-        part = TaskContext.get().partitionId()
-        rows = [(-1, part, bits, own["weights"].tobytes(), own["apm"].tobytes(), kinds.tobytes())]
-        for c in range(-1, CHUNKS):
-            if c >= 0:
-                rows = [(c, part, bits, *used_slots(own["counts"][c * width : (c + 1) * width]), b"")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "part", "n", "a", "b", "c"])
+    spark = texts.sparkSession
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -351,7 +336,7 @@ def train(texts: DataFrame, size: int, classes: np.ndarray) -> dict:
     # Parts and their order follow from the rows alone, so that any layout gives one model; equal rows can stand for each other.
     key = F.xxhash64("doc_id", "text")
     dealt = texts.select("doc_id", "text", key.alias("key")).repartition(parts, "key").sortWithinPartitions("key", "doc_id", "text")
-    learned = materialize(texts_of(dealt, F.col("text")).mapInArrow(fit, "chunk int, part int, n long, a binary, b binary, c binary"))
+    learned = materialize(map_rows(dealt.select(F.col("text").cast("binary")), "BitMixer", "Learn", "chunk int, part int, n long, a binary, b binary, c binary", ints(spark, sizes), CHUNKS, *sent_classes(spark, classes)))
     model = new_model(sizes, None) | {"odds": np.zeros(slots, np.float16), "levels": np.zeros(slots - level_base, np.uint8), "level_base": level_base, "kinds": np.zeros(classes.shape[1], np.int64)}
     total, weights = 0, np.zeros_like(model["weights"])
     for row in learned.where("chunk < 0").orderBy("part").toLocalIterator():  # 150 kB a part, of MOST_PARTS at most
@@ -414,15 +399,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
             break
         least, held = n, held + k
     top = sorted(((r.h, r.known, r.base) for r in terms.where(F.col("n_all") >= least).collect()))
-    sent = spark.sparkContext.broadcast((np.array([t[0] for t in top], np.int64), np.array([t[1:] for t in top], float).reshape(-1, 2), model))
+    words = spark.sparkContext.broadcast((np.array([t[0] for t in top], np.int64), np.array([t[1:] for t in top], float).reshape(-1, 2)))
     end_terms = (int(n_ends > 0), float(np.log10(n_ends + 1)) - base_total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        keys, values, learned = sent.value
-        # In place: tasks of one worker share the model.
-        learned["odds"] = learned["odds"].astype(np.float32, copy=False)
+        keys, values = words.value
         row = TaskContext.get().partitionId() << 40
         names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "model", "h", "tf"]
 
@@ -432,19 +415,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids, held_out = batch.column(0), batch.column(2)
+            scores = batch.column(4).to_numpy() + prior[batch.column(3).to_numpy()]
             raw, at = text_buffers(batch.column(1))
             for i, j in slices(at):
                 text, begin = raw[at[i] : at[j]], at[i : j + 1] - at[i]
                 starts, ends, first = word_spans(text, begin)
-                kind = classify(classes, LOWER[text], begin)
-                scores = bit_costs(learned, *token_text(text, begin, starts, ends, first), kind) + prior[kind]
                 h = word_hashes(text, starts, ends).view(np.int64)
                 where = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 found = keys[where] == h if len(keys) else np.zeros(len(h), bool)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 sums = [np.bincount(doc[found], values[where[found], k], minlength=j - i) for k in range(2)]
                 n = np.diff(first) + 1
-                yield emit(j - i, row=row + np.arange(j - i), doc_id=ids.slice(i, j - i), held_out=held_out.slice(i, j - i), n_tokens=n, n_bytes=np.diff(begin), known=np.rint(sums[0]).astype(np.int64) + end_terms[0], base=sums[1] + end_terms[1], model=scores)
+                yield emit(j - i, row=row + np.arange(j - i), doc_id=ids.slice(i, j - i), held_out=held_out.slice(i, j - i), n_tokens=n, n_bytes=np.diff(begin), known=np.rint(sums[0]).astype(np.int64) + end_terms[0], base=sums[1] + end_terms[1], model=scores[i:j])
                 rest = np.flatnonzero(~found)
                 if len(rest):
                     order = np.lexsort((h[rest], doc[rest]))
@@ -453,7 +435,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     yield emit(len(cut), row=row + d[cut], h=w[cut], tf=np.diff(np.append(cut, len(d))))
                 row += j - i
 
-    staged = materialize(texts_of(docs, F.col("doc_id"), F.col("text"), F.col("held_out")).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, model double, h long, tf long"))
+    scored = texts_of(mixed_costs(docs, model, classes), *map(F.col, ("doc_id", "text", "held_out", "z", "cost")))
+    staged = materialize(scored.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, model double, h long, tf long"))
     rare = staged.where("h IS NOT NULL").select("row", "h", "tf").join(terms.where(F.col("n_all") < least).drop("n_all"), "h")
     summed = rare.groupBy("row").agg(F.sum(F.col("tf") * F.col("known")).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"))
     texts = staged.where("h IS NULL").drop("h", "tf").join(summed, "row", "left")

@@ -194,6 +194,29 @@ def test_scoring_mixes_the_bits_of_running_texts_as_a_plain_scorer_does():
         assert np.allclose(scoring.bit_costs(m, spoken, begin, kinds), want, rtol=1e-4, atol=1e-3)
 
 
+def test_scoring_in_the_jvm_learns_and_costs_as_the_plain_loops_do(spark, docs):
+    """Classes, counts, weights, adaptive table and costs of BitMixer.java against the loops of scoring.py, over steps and groups of texts."""
+    some = docs.where("doc_id % 3 = 0").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    some = some.unionByName(spark.createDataFrame([(-1, "xx", ""), (-2, "xx", " Éa là\tX\n"), (-3, None, "w " * 140_000)], "doc_id long, lang string, text string")).cache()
+    size = some.agg(F.sum(F.octet_length("text"))).first()[0]
+    classes = scoring.fit_classes(some)
+    got = scoring.train(some, size, classes)
+    rows = some.withColumn("key", F.xxhash64("doc_id", "text")).orderBy("key", "doc_id", "text").collect()
+    raw, at = common.text_buffers(pa.array([r.text for r in rows]))
+    want, kinds = scoring.new_model(got["sizes"], np.zeros((sum(1 << b for b in got["sizes"]), 2), np.uint32)), []
+    groups = [(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in common.slices(at)]
+    spoken = [scoring.token_text(own, begin, *common.word_spans(own, begin)) for own, begin in groups]
+    for (own, begin), text in zip(groups, spoken, strict=True):
+        kinds.append(scoring.classify(classes, common.LOWER[own], begin))
+        scoring.learn(want, *text, kinds[-1])
+    assert len(groups) > 2 and np.array_equal(got["kinds"], np.bincount(np.concatenate(kinds), minlength=classes.shape[1]))
+    assert np.allclose(got["weights"], want["weights"], atol=1e-3) and np.abs(got["apm"] - want["apm"]).sum() <= 1e-3 * want["apm"].sum()
+    assert np.array_equal(got["levels"], scoring.levels(want["counts"])[got["level_base"] :]) and np.allclose(got["odds"], scoring.log_odds(want["counts"]), rtol=2e-3, atol=1e-3)
+    costs = {r.doc_id: r.cost for r in scoring.mixed_costs(some.withColumn("held_out", F.lit(False)), got, classes).collect()}
+    plain = np.concatenate([scoring.bit_costs(got | {"odds": got["odds"].astype(np.float32)}, *text, z) for text, z in zip(spoken, kinds, strict=True)])
+    assert np.allclose([costs[r.doc_id] for r in rows], plain, rtol=1e-5, atol=1e-4)
+
+
 def test_scoring_tells_the_order_of_words(spark):
     """Held-out texts with the same words in another order: the model has seen one order only."""
     ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 != 2]
